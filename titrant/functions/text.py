@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from titrant.fixed import lexicons as lx
 from titrant.fixed.analytes import ABBREVIATIONS, SPECIMENS
+from titrant.functions.numbers import exact_round_sql
 
 BLANKS = " \t\r\n\f\u000b "
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -80,9 +81,10 @@ def lower_bound(c: Column, anchored: bool = True) -> Column:
     return F.nullif(F.regexp_extract(c, pat, 1), F.lit("")).try_cast("double")
 
 
-def number_text(c: Column) -> Column:
-    """Stable text of a number: four decimals, trailing zeros cut."""
-    return F.regexp_replace(F.round(c, 4).cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
+def number_text(name: str) -> Column:
+    """Stable text of a numeric column: four decimals, trailing zeros cut."""
+    rounded = F.expr(exact_round_sql(name, 4))
+    return F.regexp_replace(rounded.cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
 
 
 # ---- names ---------------------------------------------------------------

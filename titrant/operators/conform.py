@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from titrant.fixed import analytes as fa, families as ff
 from titrant.functions import text as tx
+from titrant.functions.numbers import exact_round_sql
 from titrant.functions.units import normal_unit, possible_in_unit
 
 
@@ -46,7 +47,7 @@ def convert_units(rows: DataFrame) -> DataFrame:
     native = F.col("conv").isNull() | (F.col("_u") == F.col("conv.canonical_unit"))
     a = a.withColumns({
         "_converted": ~native & F.col("_hit").isNotNull(),
-        "_value": F.when(~native & F.col("_hit").isNotNull(), F.round(F.col("value_num") * F.col("_hit.factor"), 4))
+        "_value": F.when(~native & F.col("_hit").isNotNull(), F.expr(exact_round_sql("value_num * _hit.factor", 4)))
         .otherwise(F.col("value_num")),
         "_unit": F.when(native, F.coalesce(F.col("conv.canonical_unit"), F.col("_u")))
         .when(F.col("_hit").isNotNull(), F.col("conv.canonical_unit")).otherwise(F.col("_u"))})
@@ -79,7 +80,7 @@ def rescue_misreported_units(rows: DataFrame) -> DataFrame:
     far = ((low > 0) & (value < low / 5)) | ((high > 0) & (value > high * 5))
     floor = F.when(low > 0, low * 0.5).otherwise(F.lit(float("-inf")))
     near = F.try_element_at(F.filter(
-        F.transform(F.col("conv.factors"), lambda f: F.round(value * f.factor, 4)),
+        F.expr(f"transform(conv.factors, f -> {exact_round_sql('value_num * f.factor', 4)})"),
         lambda v: v.between(floor, high * 2)), F.lit(1))
     a = rows.withColumn("_far", F.coalesce(F.col("unit_present") & far, F.lit(False)))
     a = a.withColumn("_near", F.when(F.col("_far"), near))

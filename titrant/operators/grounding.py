@@ -245,7 +245,7 @@ def validate_answers(answers: DataFrame, compact: DataFrame) -> DataFrame:
     reason = F.coalesce(
         F.when(~F.col("well_formed"), "schema_invalid"), F.col("cite_reason"),
         F.when(comparative_ratio(F.col("answer")), "comparative_ratio"),
-        F.concat(F.lit("invented_number:"), tx.number_text(F.col("invented"))),
+        F.concat(F.lit("invented_number:"), tx.number_text("invented")),
         F.when(denied_wording(F.col("answer")), "denied_verb"),
         F.when(drug_or_dose(F.col("answer")), "drug_or_dose"))
     routed = F.coalesce("report_serious", F.lit(False)) | acute_symptom(F.col("question"), F.col("language"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from titrant.fixed import units as fx
 from titrant.functions import text as tx
+from titrant.functions.numbers import exact_round_sql
 
 SLOTS = ["ngsp", "ifcc", "eag"]
 BLOCK = ["report_id", "page_num", "block_id"]
-_ANALYTE = ("struct<test_name:string,value:double,unit:string,ref_low:double,ref_high:double,source:string>")
 
 
 def slot() -> Column:
@@ -67,34 +67,26 @@ def fix_misread(blocks: DataFrame) -> DataFrame:
 def derive_missing(blocks: DataFrame) -> DataFrame:
     """Fill missing analytes from present ones, in a fixed order, each only when
     the derived value is plausible."""
-    def expected_eag(n):
-        return n * fx.EAG_SLOPE + fx.EAG_INTERCEPT
-
-    def ngsp_from_eag(e):
-        return (e - fx.EAG_INTERCEPT) / fx.EAG_SLOPE
+    expected_eag = f"(ngsp.value * {fx.EAG_SLOPE}D + {fx.EAG_INTERCEPT}D)"
+    ngsp_from_eag = f"((_eag - {fx.EAG_INTERCEPT}D) / {fx.EAG_SLOPE}D)"
+    ngsp_from_ifcc = f"((_ifcc - {fx.IFCC_INTERCEPT}D) / {fx.IFCC_SLOPE}D)"
+    expected_ifcc = f"(ngsp.value * {fx.IFCC_SLOPE}D + {fx.IFCC_INTERCEPT}D)"
 
     def fill(df, column, when, value, name, unit, source, span):
-        ok = when & value.between(*span)
-        return df.withColumn(column, F.when(F.coalesce(ok, F.lit(False)), _analyte(name, F.round(value, 1), unit, source))
-                             .otherwise(F.col(column)))
+        ok = f"coalesce({when} and {value} between {span[0]} and {span[1]}, false)"
+        made = _analyte(name, F.expr(exact_round_sql(value, 1)), unit, source)
+        return df.withColumn(column, F.when(F.expr(ok), made).otherwise(F.col(column)))
 
     df = blocks.withColumns({
-        "_eag": F.when(F.lower("eag.unit") == "mmol/l", F.col("eag.value") * fx.MMOL_TO_MGDL)
-        .otherwise(F.col("eag.value")),
+        "_eag": F.expr(f"if(lower(eag.unit) = 'mmol/l', eag.value * {fx.MMOL_TO_MGDL}D, eag.value)"),
         "_ifcc": F.col("ifcc.value"), "_had_eag": F.col("eag.value").isNotNull()})
-    disagrees = ((F.col("ngsp.source") == "plausibility-reclassified")
-                 & (F.abs(F.col("_eag") - expected_eag(F.col("ngsp.value"))) > fx.EAG_MGDL_TOLERANCE))
+    disagrees = (f"ngsp.source = 'plausibility-reclassified' and abs(_eag - {expected_eag}) > {fx.EAG_MGDL_TOLERANCE}D")
     ngsp = ("HbA1c (NGSP)", "%")
-    df = fill(df, "ngsp", disagrees, ngsp_from_eag(F.col("_eag")), *ngsp, "derived-from-eag", fx.NGSP_SPAN)
-    df = fill(df, "ngsp", F.col("ngsp.value").isNull() & F.col("_ifcc").isNotNull(),
-              (F.col("_ifcc") - fx.IFCC_INTERCEPT) / fx.IFCC_SLOPE, *ngsp, "derived-from-ifcc", fx.NGSP_SPAN)
-    df = fill(df, "ngsp", F.col("ngsp.value").isNull() & F.col("_eag").isNotNull(),
-              ngsp_from_eag(F.col("_eag")), *ngsp, "derived-from-eag", fx.NGSP_SPAN)
-    df = fill(df, "ifcc", F.col("_ifcc").isNull() & F.col("ngsp.value").isNotNull(),
-              F.col("ngsp.value") * fx.IFCC_SLOPE + fx.IFCC_INTERCEPT,
-              "HbA1c (IFCC)", "mmol/mol", "derived-from-ngsp", fx.IFCC_SPAN)
-    df = fill(df, "eag", ~F.col("_had_eag") & F.col("ngsp.value").isNotNull(),
-              expected_eag(F.col("ngsp.value")),
+    df = fill(df, "ngsp", disagrees, ngsp_from_eag, *ngsp, "derived-from-eag", fx.NGSP_SPAN)
+    df = fill(df, "ngsp", "ngsp.value is null", ngsp_from_ifcc, *ngsp, "derived-from-ifcc", fx.NGSP_SPAN)
+    df = fill(df, "ngsp", "ngsp.value is null", ngsp_from_eag, *ngsp, "derived-from-eag", fx.NGSP_SPAN)
+    df = fill(df, "ifcc", "_ifcc is null", expected_ifcc, "HbA1c (IFCC)", "mmol/mol", "derived-from-ngsp", fx.IFCC_SPAN)
+    df = fill(df, "eag", "not _had_eag", expected_eag,
               "Estimated Average Glucose (eAG)", "mg/dL", "derived-from-ngsp", fx.EAG_MGDL_SPAN)
     return df.drop("_eag", "_ifcc", "_had_eag")
 

@@ -101,7 +101,7 @@ def severity_cap(name: Column, caps=tuple(fa.SEVERITY_CAPS)) -> Column:
 
 def display_severity(name: Column, severity: Column) -> Column:
     cap = severity_cap(name)
-    return F.when(severity_rank(severity) > severity_rank(cap), cap).otherwise(severity)
+    return F.when(cap.isNotNull() & (severity_rank(severity) > severity_rank(cap)), cap).otherwise(severity)
 
 
 def low_priority(name: Column, tokens=tuple(fa.LOW_PRIORITY)) -> Column:

@@ -89,6 +89,17 @@ def write_csv(rows: DataFrame, path: str, columns=tuple(lx.EXPORT_COLUMNS)) -> N
     export_frame(rows, columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_truth(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Ground-truth or output files, one JSON document per file."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("source_file", F.input_file_name())
+def read_truth(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """Ground-truth or output documents, one JSON document per file or line."""
+    return spark.read.schema(schema).json(path, multiLine=one_per_file).withColumn("source_file", F.input_file_name())
+
+
+TRUTH_ROW = ("struct<test_name:string,value:string,unit:string,reference_range_low:double,reference_range_high:double,"
+             "flag:string,section_type:string>")
+EXTRACTION_TRUTH = (f"archetype string, expected_values array<{TRUTH_ROW}>, "
+                    "expected_screening array<struct<test_type:string,result_status:string>>, "
+                    "expected_hplc array<struct<diabetes_category:string>>")
+INTERPRETATION_TRUTH = ("report_id string, variant_type string, values array<struct<test_name:string,loinc_code:string,value:string,"
+                        "unit:string,reference_range_low:double,reference_range_high:double,expected_direction:string,"
+                        "expected_severity:string,expected_actionability:string,expected_confidence:string,"
+                        "expected_confidence_downgrade:boolean>>")
