@@ -101,7 +101,7 @@ def screening_merge(s):
                                                        F.coalesce(F.length("limitations"), F.lit(0)).alias("limitations_length"))
 
 
-@query("screening_organs", """SELECT report_id, test_type, list(organ ORDER BY at) AS organs FROM (SELECT report_id, test_type, organ, min({'p': page_num, 'i': i}) AS at
+@query("screening_organs", """SELECT report_id, test_type, list(organ ORDER BY pos) AS organs FROM (SELECT report_id, test_type, organ, min({'p': page_num, 'i': i}) AS pos
   FROM (SELECT report_id, test_type, page_num, unnest(organs) AS organ, unnest([1, 2, 3]) AS i FROM scr) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def screening_organs(s):
     return sc.merge_results(screening_table(s)).select("report_id", "test_type", F.col("organs_screened").alias("organs"))
