@@ -247,21 +247,25 @@ def requests(s):
     return s.table("events").select(F.col("user_id").alias("job_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
 
-_FOLD = f"""WITH u AS (SELECT user_id AS job_id, list({{'t': {_T}, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}} ORDER BY ts, event_id) AS l, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1),
-  f AS (SELECT job_id, ids, list_reduce(l, lambda a, x: {{'t': x.t, 'taken': CASE WHEN len(list_filter(a.taken, lambda y: y >= x.t - {SPAN})) < {LIMIT} THEN list_append(list_filter(a.taken, lambda y: y >= x.t - {SPAN}), x.t) ELSE list_filter(a.taken, lambda y: y >= x.t - {SPAN}) END,
-    'ok': list_append(a.ok, len(list_filter(a.taken, lambda y: y >= x.t - {SPAN})) < {LIMIT})}}, {{'t': 0.0::DOUBLE, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}}).ok AS ok FROM u)
+def _fold_sql(span: int) -> str:
+    return f"""WITH u AS (SELECT user_id AS job_id, list({{'t': {_T}, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}} ORDER BY ts, event_id) AS l, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1),
+  f AS (SELECT job_id, ids, list_reduce(l, lambda a, x: {{'t': x.t, 'taken': CASE WHEN len(list_filter(a.taken, lambda y: y >= x.t - {span})) < {LIMIT} THEN list_append(list_filter(a.taken, lambda y: y >= x.t - {span}), x.t) ELSE list_filter(a.taken, lambda y: y >= x.t - {span}) END,
+    'ok': list_append(a.ok, len(list_filter(a.taken, lambda y: y >= x.t - {span})) < {LIMIT})}}, {{'t': 0.0::DOUBLE, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}}).ok AS ok FROM u)
   SELECT job_id, unnest(ids) AS event_id, unnest(ok) AS accepted FROM f"""
 
 
+_FOLD = _fold_sql(SPAN)
+
+
 @query("request_limit", _FOLD, False)
 def request_limit(s):
     return limits.limit_requests(requests(s), LIMIT, SPAN).select("job_id", "event_id", "accepted")
 
 
-@query("request_limit_sliced", _FOLD, False)
+@query("request_limit_sliced", _fold_sql(6 * 24 * 3600), False)
 def request_limit_sliced(s):
     # every key takes the path of very large keys
-    return limits.limit_requests(requests(s), LIMIT, SPAN, fold_rows=0).select("job_id", "event_id", "accepted")
+    return limits.limit_requests(requests(s), LIMIT, 6 * 24 * 3600, fold_rows=0).select("job_id", "event_id", "accepted")
 
 
 @query("recent_requests", f"SELECT user_id AS job_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {24 * 3600} SECOND PRECEDING AND CURRENT ROW) AS recent FROM events", False)
