@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from titrant.llm import embedding_dedup, jaccard_join
+from titrant.llm import byte_bpe, embedding_dedup, jaccard_join, token_counts, token_files
+from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +33,23 @@ def op1_jaccard_join(spark, sf_dir):
 @query
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_byte_bpe(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    decoded = byte_bpe.decode(encoded, path, pattern)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    out = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.with_crc32(token_files.read_tokens(spark, out))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
