@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrant.llm import byte_bpe, embedding_dedup, jaccard_join, token_counts, token_files
+from titrant.llm import byte_bpe, embedding_dedup, jaccard_join, labelled, quality, token_counts, token_files, toxicity
 from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,24 @@ def op7_token_files(spark, sf_dir):
 @query
 def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    return labels.where(labelled.bucket(F.col("doc_id"), 5) != 0)
+
+
+def scored(rows: DataFrame, least: float) -> DataFrame:
+    held = F.coalesce(labelled.bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(quality.score(docs, quality.fit(docs, learnable(table(spark, sf_dir, "labels")))), 0.3)
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(toxicity.score(docs, toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))), 0.5)
