@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrant.llm import byte_bpe, embedding_dedup, jaccard_join, labelled, quality, token_counts, token_files, toxicity
+from titrant.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, labelled, language, quality, token_counts, token_files, toxicity
 from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,19 @@ def op4_quality(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return scored(toxicity.score(docs, toxicity.fit(docs, learnable(table(spark, sf_dir, "labels")))), 0.5)
+
+
+@query
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(labelled.bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = language.predict(docs, language.fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op5_decontamination"] = decontaminate.SQL
