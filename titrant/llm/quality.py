@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from titrant.llm import labelled
 from titrant.llm.shingles import hash_words, mix
@@ -98,19 +99,25 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), one row per input row."""
-    weights = docs.sparkSession.sparkContext.broadcast((model.weights, model.constant))  # 2**BITS floats
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """The first column, and `score` of the text in the second."""
+    weights = rows.sparkSession.sparkContext.broadcast((model.weights, model.constant))  # 2**BITS floats
+    name = rows.columns[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model()
         own.weights, own.constant = weights.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
-    return labelled.documents(docs).mapInArrow(run, "doc_id long, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(t.as_py()) for t in b.column(1)], pa.float64())], [name, "score"])
+    return rows.mapInArrow(run, StructType([rows.schema.fields[0], StructField("score", DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1), one row per input row."""
+    return _scored(labelled.documents(docs), model)
 
 
 def remove_poor(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents at or over the threshold, with their columns."""
-    bad = saved(score(docs, model).where(F.col("score") < threshold).select("doc_id").distinct(), "poor")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows at or over the threshold, with their columns."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _scored(rows, model).where(F.col("score") >= threshold).select("row.*")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrant.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, labelled, language, quality, token_counts, token_files, toxicity
+from titrant.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, labelled, language, licences, quality, token_counts, token_files, toxicity
 from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op5_decontamination(spark, sf_dir):
 
 
 SQL["op5_decontamination"] = decontaminate.SQL
+
+
+@query
+def op10_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_licences"] = licences.sql()

@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from titrant.llm import labelled
 from titrant.session import saved
@@ -100,8 +101,7 @@ class Model:
             for batch in batches:
                 x = [features(t.as_py(), a, b) for t in batch.column(len(columns))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-        return docs.mapInArrow(run, f"{schema}, x array<double>")
+        return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("x", ArrayType(DoubleType()))]))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -170,6 +170,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents below the threshold, with their columns."""
-    bad = saved(score(docs, model).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows below the threshold, with their columns."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return model.measure(rows).where(model.probability() < threshold).select("row.*")
