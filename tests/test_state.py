@@ -23,13 +23,12 @@ def expected(rows, limit, window):
     return out
 
 
-def test_limits_fold_and_sliced(spark):
+def test_limits_match_a_plain_loop(spark):
     rows = requests()
     df = spark.createDataFrame(rows, "job_id long, event_id long, t double")
     want = expected(rows, 5, 1000)
-    for fold_rows in (10_000, 0):
-        got = {r.event_id: r.accepted for r in limits.limit_requests(df, 5, 1000, fold_rows).collect()}
-        assert got == want
+    got = {r.event_id: r.accepted for r in limits.limit_requests(df, 5, 1000).collect()}
+    assert got == want
 
 
 def test_split_row_number_matches_plain_order(spark):

@@ -162,7 +162,8 @@ def with_for(sql: str) -> str:
         if n not in need:
             need.add(n)
             todo += used(CTES[at[n]][1], at[n])
-    parts = [f"{n} AS ({b})" for n, b in CTES if n.split("(")[0] in need and n != "lab"]
+    # materialised, so that a fragment used several times is computed once
+    parts = [f"{n} AS {'' if b.startswith('VALUES') else 'MATERIALIZED '}({b})" for n, b in CTES if n.split("(")[0] in need and n != "lab"]
     head = [lab_sql().strip()] if "lab" in need else []
     return "WITH " + ",\n".join(head + parts) + "\n" + sql if head or parts else sql
 

@@ -264,8 +264,7 @@ def request_limit(s):
 
 @query("request_limit_sliced", _fold_sql(6 * 24 * 3600), False)
 def request_limit_sliced(s):
-    # every key takes the path of very large keys
-    return limits.limit_requests(requests(s), LIMIT, 6 * 24 * 3600, fold_rows=0).select("job_id", "event_id", "accepted")
+    return limits.limit_requests(requests(s), LIMIT, 6 * 24 * 3600).select("job_id", "event_id", "accepted")
 
 
 @query("recent_requests", f"SELECT user_id AS job_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {24 * 3600} SECOND PRECEDING AND CURRENT ROW) AS recent FROM events", False)

@@ -18,49 +18,59 @@ K = ["report_id", "page_num", "row_idx"]
 
 # ---- dimensions against the rows ----------------------------------------
 
-@query("rule_bands", """SELECT n.loinc_code, b.band, b.low, b.high, r.r0_low AS first_low, r.r0_high AS first_high, count(*) AS n_rows
-  FROM kept k JOIN names n USING (test_name) JOIN (SELECT loinc_code, r0_low, r0_high, unnest(bands) AS b FROM rules) r ON n.loinc_code = r.loinc_code GROUP BY ALL""")
+_BY_CODE = "(SELECT n.loinc_code, count(*) AS n FROM kept k JOIN names n USING (test_name) GROUP BY 1)"
+
+
+def rows_per_code(s):
+    return s.rows.join(s.names.select("test_name", "loinc_code"), "test_name").groupBy("loinc_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted(dimension, counts, on, *cols):
+    """Every row of a dimension with the number of lab rows that hit it."""
+    return dimension.join(counts, on, "left").select(*cols, F.coalesce("n", F.lit(0).cast("long")).alias("n_rows"))
+
+
+@query("rule_bands", f"""SELECT r.loinc_code, b.band, b.low, b.high, r.r0_low AS first_low, r.r0_high AS first_high, coalesce(n, 0) AS n_rows
+  FROM (SELECT loinc_code, r0_low, r0_high, unnest(bands) AS b FROM rules) r LEFT JOIN {_BY_CODE} c ON c.loinc_code = r.loinc_code""")
 def rule_bands(s):
-    counts = s.rows.join(s.names, "test_name").groupBy("loinc_code").agg(F.count(F.lit(1)).alias("n_rows"))
     bands = dims.rule_struct(dims.numeric_rules(s.spark)).select("loinc_code", "rule.first_low", "rule.first_high", F.explode("rule.bands").alias("b"))
-    return counts.join(bands, "loinc_code").select("loinc_code", "b.band", "b.low", "b.high", "first_low", "first_high", "n_rows")
+    return counted(bands, rows_per_code(s), "loinc_code", "loinc_code", "b.band", "b.low", "b.high", "first_low", "first_high")
 
 
-@query("qualitative_rules", """SELECT q.loinc_code, q.category, q.threshold, count(*) AS n_rows FROM kept k JOIN names n USING (test_name)
-  JOIN qual q ON n.loinc_code = q.loinc_code GROUP BY ALL""")
+@query("qualitative_rules", f"SELECT q.loinc_code, q.category, q.threshold, coalesce(n, 0) AS n_rows FROM qual q LEFT JOIN {_BY_CODE} c ON c.loinc_code = q.loinc_code")
 def qualitative_rules(s):
-    q = dims.qualitative_rules(s.spark).select("loinc_code", "category", "threshold")
-    return s.rows.join(s.names.select("test_name", "loinc_code"), "test_name").join(q, "loinc_code").groupBy(
-        "loinc_code", "category", "threshold").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted(dims.qualitative_rules(s.spark), rows_per_code(s), "loinc_code", "loinc_code", "category", "threshold")
 
 
-@query("alias_keys", """SELECT w.kind, w.key, w.loinc, count(*) AS n_rows FROM kept k JOIN (SELECT kind, key, arg_max(loinc, ord) AS loinc FROM words GROUP BY 1, 2) w
-  ON trim(lower(k.test_name)) = w.key GROUP BY ALL""")
+@query("alias_keys", """SELECT w.kind, w.key, w.loinc, coalesce(n, 0) AS n_rows FROM (SELECT kind, key, arg_max(loinc, ord) AS loinc FROM words GROUP BY 1, 2) w
+  LEFT JOIN (SELECT trim(lower(test_name)) AS key, count(*) AS n FROM kept GROUP BY 1) c ON c.key = w.key""")
 def alias_keys(s):
-    words = nm.dictionary(s.know.aliases).select("kind", "key", "loinc")
-    counts = s.rows.groupBy(tx.raw_key(F.col("test_name")).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(words, "key").select("kind", "key", "loinc", "n_rows")
+    counts = s.rows.groupBy(tx.raw_key(F.col("test_name")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return counted(nm.dictionary(s.know.aliases), counts, "key", "kind", "key", "loinc")
 
 
-@query("unit_factors", """SELECT n.loinc_code, k.unit, c.canonical AS canonical_unit, list_filter(c.factors, lambda x: lower(x.f) = lower(k.unit))[1].x AS factor, count(*) AS n_rows
-  FROM kept k JOIN names n USING (test_name) JOIN conv c ON n.loinc_code = c.loinc_code WHERE k.unit IS NOT NULL GROUP BY ALL""")
+@query("unit_factors", """SELECT c.loinc_code, c.unit, c.canonical_unit, c.factor, coalesce(n, 0) AS n_rows
+  FROM (SELECT loinc_code, canonical AS canonical_unit, f.f AS unit, f.x AS factor FROM (SELECT loinc_code, canonical, unnest(factors) AS f FROM conv)) c
+  LEFT JOIN (SELECT n.loinc_code, lower(k.unit) AS u, count(*) AS n FROM kept k JOIN names n USING (test_name) GROUP BY 1, 2) r ON r.loinc_code = c.loinc_code AND r.u = lower(c.unit)""")
 def unit_factors(s):
-    counts = s.rows.filter("unit is not null").join(s.names, "test_name").groupBy("loinc_code", "unit").agg(F.count(F.lit(1)).alias("n_rows"))
-    hit = F.try_element_at(F.filter("factors", lambda f: F.lower(f.from_unit) == F.lower("unit")), F.lit(1)).factor
-    return counts.join(dims.unit_conversions(s.spark), "loinc_code").select("loinc_code", "unit", "canonical_unit", hit.alias("factor"), "n_rows")
+    counts = s.rows.join(s.names.select("test_name", "loinc_code"), "test_name").groupBy("loinc_code", F.lower("unit").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    factors = dims.unit_conversions(s.spark).select("loinc_code", "canonical_unit", F.explode("factors").alias("f"))
+    factors = factors.select("loinc_code", "canonical_unit", F.col("f.from_unit").alias("unit"), F.col("f.factor").alias("factor"), F.lower("f.from_unit").alias("u"))
+    return counted(factors, counts, ["loinc_code", "u"], "loinc_code", "unit", "canonical_unit", "factor")
 
 
-@query("code_categories", "SELECT n.loinc_code, f.category, count(*) AS n_rows FROM kept k JOIN names n USING (test_name) JOIN famc f ON n.loinc_code = f.loinc_code GROUP BY ALL")
+@query("code_categories", f"SELECT f.loinc_code, f.category, coalesce(n, 0) AS n_rows FROM famc f LEFT JOIN {_BY_CODE} c ON c.loinc_code = f.loinc_code")
 def code_categories(s):
-    counts = s.rows.join(s.names, "test_name").groupBy("loinc_code").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(dims.last_category(s.know.families), "loinc_code").select("loinc_code", "category", "n_rows")
+    return counted(dims.last_category(s.know.families), rows_per_code(s), "loinc_code", "loinc_code", "category")
 
 
-@query("priority_tokens", f"SELECT t.token, t.cap, count(*) AS n_rows FROM kept k JOIN (VALUES {', '.join(f'({ch._sql(t)}, {ch._sql(c)})' for t, c in fa.SEVERITY_CAPS)}) t(token, cap) ON contains(lower(k.test_name), t.token) GROUP BY ALL")
+@query("priority_tokens", f"SELECT t.token, t.cap, count(k.test_name) AS n_rows FROM (VALUES {', '.join(f'({ch._sql(t)}, {ch._sql(c)})' for t, c in fa.SEVERITY_CAPS)}) t(token, cap) LEFT JOIN kept k ON contains(lower(k.test_name), t.token) GROUP BY ALL")
 def priority_tokens(s):
+    tokens = s.spark.createDataFrame([tuple(x) for x in fa.SEVERITY_CAPS], "token string, cap string")
     pairs = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(c).alias("cap")) for t, c in fa.SEVERITY_CAPS])
     hits = F.filter(pairs, lambda p: F.contains(F.lower("test_name"), p.token))
-    return s.rows.select(F.explode(hits).alias("p")).groupBy("p.token", "p.cap").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = s.rows.select(F.explode(hits).alias("p")).groupBy("p.token", "p.cap").agg(F.count(F.lit(1)).alias("n"))
+    return counted(tokens, counts, ["token", "cap"], "token", "cap")
 
 
 # ---- cleaning ------------------------------------------------------------
@@ -174,10 +184,9 @@ def extraction_warnings(s):
 @query("plausibility_warnings", f"""SELECT {KEY}, list_filter([CASE WHEN value_num NOT BETWEEN h_low AND h_high THEN 'Plausibility fail: ' || test_name END,
     CASE WHEN ref_low >= ref_high THEN 'Invalid ref range for ' || test_name WHEN ref_low IS NOT NULL AND ref_high IS NOT NULL AND (ref_low < 0 OR ref_high < 0) THEN 'Negative ref range for ' || test_name END],
     lambda x: x IS NOT NULL) AS warnings, CASE WHEN ref_low >= ref_high THEN NULL ELSE ref_low END AS ref_low
-  FROM (SELECT r.*, n.loinc_code FROM rep4 r LEFT JOIN names n USING (test_name)) LEFT JOIN human USING (loinc_code)
-  WHERE test_name IN (SELECT test_name FROM names)""")
+  FROM (SELECT r.*, n.loinc_code FROM rep4 r LEFT JOIN names n USING (test_name)) LEFT JOIN human USING (loinc_code)""")
 def plausibility_warnings(s):
-    rows = clean.repair_numbers(s.sect).join(s.names.select("test_name", "loinc_code"), "test_name")
+    rows = clean.repair_numbers(s.sect).join(s.names.select("test_name", "loinc_code"), "test_name", "left")
     return clean.plausibility_warnings(rows, dims.human_bounds(s.spark)).select(*K, "warnings", "ref_low")
 
 
@@ -427,12 +436,9 @@ def rule_join(s):
         dims.numeric_rules(s.spark).select("loinc_code", F.col("unit").alias("rule_unit")), "loinc_code", "left").select(*K, "loinc_code", "rule_name", "rule_unit")
 
 
-@query("unit_conversion", f"SELECT {KEY}, CASE WHEN conv_on THEN cval ELSE value_num END AS value_num, CASE WHEN conv_on THEN cunit ELSE unit END AS unit, conv_on AND cd AS converted FROM cv3 WHERE NOT (conv_on AND misfit)")
+@columns("unit_conversion", "cv4", f"{KEY}, value_num, unit, converted")
 def unit_conversion(s):
-    a = conform.convert_units(attached(s))
-    return a.filter(~(F.col("unit_present") & ~F.col("has_lab_range") & F.col("value_num").isNotNull() & (F.col("unit_conf") == "low") & (
-        F.col("conv").isNotNull() & F.exists(F.col("conv.factors"), lambda f: F.lower(f.from_unit) == F.lower(normal_unit(F.col("unit_text"))))
-        & (normal_unit(F.col("unit_text")) != F.col("conv.canonical_unit"))))).select(*K, "value_num", "unit", "converted")
+    return conform.convert_units(attached(s)).select(*K, "value_num", "unit", "converted")
 
 
 @columns("conversion_guard", "cv4", f"{KEY}, value_num, unit, unit_conf, loinc_code", alias={"unit_conf": "uc2", "loinc_code": "code2"})

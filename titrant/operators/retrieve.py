@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from titrant.fixed.lexicons import RETRIEVAL_QUERIES
 from titrant.functions import text as tx
 
-NEIGHBOURS = 100_000  # longest neighbour list kept in one record
-
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per (node, relation, neighbour): CORRELATES_WITH both ways,
@@ -25,13 +21,10 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select(F.col("src").alias("node_id"), relation.alias("relation"), F.col("dst").alias("neighbour_id"), "name", "description"))
 
 
-def neighbour_lists(found: DataFrame, per_record: int = NEIGHBOURS) -> DataFrame:
-    """Neighbours folded per node and relation, in numbered parts so that a node
-    with very many neighbours gives several records."""
-    part = F.pmod(F.xxhash64("neighbour_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / per_record))).cast("int")
-    sizes = found.groupBy("node_id", "relation").agg(F.count(F.lit(1)).alias("_n"))
-    a = found.join(sizes, ["node_id", "relation"]).withColumn("part", part)
-    return a.groupBy("node_id", "relation", "part").agg(
+def neighbour_lists(found: DataFrame) -> DataFrame:
+    """Neighbours folded per node and relation, in the order of their ids; the
+    rows of `neighbours` are the form for nodes with very many of them."""
+    return found.groupBy("node_id", "relation").agg(
         F.array_sort(F.collect_list(F.struct("neighbour_id", "name"))).alias("neighbours"))
 
 
@@ -44,49 +37,50 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def _scorer(ids: list, vectors: np.ndarray, k: int):
-    """Batch function: the k best rows of each Arrow batch per query vector."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384  # vectors packed into one row
+
+
+def _pack(size: int):
+    """Batch function: ids and float64 vectors of `size` rows packed into one."""
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at:at + size]
+                m = np.stack(part.iloc[:, 1].to_numpy()).astype("float64")
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                yield pd.DataFrame({"ids": [part.iloc[:, 0].to_numpy()], "unit": [m.tobytes()]})
+    return run
+
 
-    def score(batches):
+def _best(k: int):
+    """Batch function: the k best corpus rows of each query in a pair of blocks."""
+    def run(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf["vector"].to_numpy()).astype("float64")
-            s = np.round(unit @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
-            rows = pdf["vec_id"].to_numpy()
-            kept = []
-            for q, line in zip(ids, s):
-                cut = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-                at = np.flatnonzero(line >= cut)
-                at = at[np.lexsort((rows[at], -line[at]))][:k]
-                kept.append(pd.DataFrame({"query_id": q, "vec_id": rows[at], "score": line[at]}))
-            yield pd.concat(kept, ignore_index=True)
-    return score
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096) -> DataFrame:
+            for query_ids, query_unit, ids, unit in zip(pdf["q_ids"], pdf["q_unit"], pdf["ids"], pdf["unit"]):
+                rows = np.asarray(ids)
+                s = np.round(np.frombuffer(query_unit).reshape(len(query_ids), -1) @ np.frombuffer(unit).reshape(len(rows), -1).T, 9)
+                found = []
+                for q, line in zip(query_ids, s):
+                    cut = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                    at = np.flatnonzero(line >= cut)
+                    found.append((np.full(min(k, len(at)), q), *(x[np.lexsort((rows[at], -line[at]))][:k] for x in (rows[at], line[at]))))
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+    return run
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k most similar corpus vectors (vec_id, vector) per query (query_id,
     vector) by cosine, ties by id.
 
-    Queries are taken in counted blocks, each small enough to ship to the tasks;
-    one pass over the corpus scores a block as a matrix product and lets only
-    the k best rows per query leave each batch.  More queries mean more passes.
+    Both sides are packed into blocks; every query block meets every corpus block as one
+    matrix product, and only the k best rows per query leave a pair of blocks.
     """
-    blocks = max(1, -(-queries.count() // block))
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    vec_type = corpus.schema["vec_id"].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        if mine.empty:
-            continue
-        fn = _scorer(mine["query_id"].tolist(), np.stack(mine["vector"].to_numpy()).astype("float64"), k)
-        parts.append(corpus.select("vec_id", "vector").mapInPandas(fn, f"query_id {id_type}, vec_id {vec_type}, score double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"query_id {id_type}, vec_id {vec_type}, score double, rank int")
+    id_type, vec_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["vec_id"].dataType.simpleString()
+    asked = queries.select("query_id", "vector").mapInPandas(_pack(QUERY_BLOCK), f"ids array<{id_type}>, unit binary")
+    rows = corpus.select("vec_id", "vector").mapInPandas(_pack(CORPUS_BLOCK), f"ids array<{vec_type}>, unit binary")
+    pairs = rows.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit")))
+    best = pairs.mapInPandas(_best(k), f"query_id {id_type}, vec_id {vec_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = reduce(DataFrame.unionByName, parts)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -97,15 +91,14 @@ def retrieval_query(name: Column, section: Column) -> Column:
 
 
 def graph_context(lists: DataFrame) -> DataFrame:
-    """Neighbour lists side by side: one row per node and part."""
+    """Neighbour lists side by side: one row per node."""
     names = F.transform("neighbours", lambda x: x["name"])
-    return lists.groupBy("node_id", "part").agg(*[
+    return lists.groupBy("node_id").agg(*[
         F.max(F.when(F.col("relation") == kind, names)).alias(kind) for kind in ("related", "condition", "follow_up")])
 
 
 def assemble(tests: DataFrame, graph: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Graph and snippet context per test; tests without either keep empty
-    lists.  A test whose node has several parts gives one row per part.
+    """Graph and snippet context per test; tests without either keep empty lists.
 
     `graph` is a graph_context; `snippets` holds query_id, rank, text with few
     ranks per query.
@@ -114,5 +107,4 @@ def assemble(tests: DataFrame, graph: DataFrame, snippets: DataFrame) -> DataFra
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x.text).alias("snippets"))
     out = tests.join(graph.withColumnRenamed("node_id", "loinc_code"), "loinc_code", "left").join(s, "test_name", "left")
     empty = F.array().cast("array<string>")
-    lists = ("related", "condition", "follow_up", "snippets")
-    return out.withColumns({**{c: F.coalesce(c, empty) for c in lists}, "part": F.coalesce("part", F.lit(0))})
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("related", "condition", "follow_up", "snippets")})

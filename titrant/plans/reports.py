@@ -27,7 +27,7 @@ class Knowledge:
     @classmethod
     def default(cls, spark: SparkSession) -> "Knowledge":
         return cls(dims.name_table(spark), dims.families(spark), dims.qualitative_rules(spark),
-                   dims.analytes_local(spark), dims.panels(spark))
+                   saved(dims.analytes(spark), "analytes"), dims.panels(spark))
 
     @property
     def categories(self) -> DataFrame:

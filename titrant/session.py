@@ -24,14 +24,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the cluster names, or
-    a temporary one only where none is set."""
+    """The shared folder for intermediate tables: the one that `spark.checkpoint.dir`
+    names.  Only a local master, whose executors share this machine's disk, may
+    leave it unset; its folder goes when the program ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="titrant-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if sc.master.partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            own = tempfile.TemporaryDirectory(prefix="titrant-", ignore_cleanup_errors=True)
+            _own_folders.append(own)
+            named = own.name
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+_own_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def saved(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a stage as a table in the shared folder and read it back.
 

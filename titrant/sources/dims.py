@@ -173,15 +173,3 @@ def last_category(fams: DataFrame) -> DataFrame:
     numbered = fams.withColumn("_n", F.monotonically_increasing_id())
     return (numbered.select("_n", "category", F.explode("loinc_codes").alias("loinc_code"))
             .groupBy("loinc_code").agg(F.max_by("category", "_n").alias("category")))
-
-
-def analytes_local(spark: SparkSession, **tables) -> DataFrame:
-    """The combined dimension as one local relation.  Its row count is that of
-    the code tables (about a hundred); a larger input is left as a plan."""
-    combined = analytes(spark, **tables)
-    # through JSON, so that no nested field claims to be non-null
-    plain = combined.select(F.from_json(F.to_json(F.struct("*")), combined.schema).alias("r")).select("r.*")
-    rows = plain.limit(20_001).toArrow()
-    if rows.num_rows > 20_000:
-        return combined
-    return spark.createDataFrame(rows, schema=plain.schema)

@@ -14,83 +14,42 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from titrant.functions.ordering import trailing_count
-from titrant.session import saved
 
 DAY = 24 * 60 * 60
-FOLD_ROWS = 1_000_000  # a key with more requests than this is limited slice by slice
+
+_OUT = "job_id long, event_id long, t double, accepted boolean"
 
 
 def _fold(max_requests: int, window: float):
-    """Sequential acceptance over one key's bounded rows, oldest first."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"], kind="stable")
-        taken: deque = deque(pdf["state"].iloc[0] if "state" in pdf and pdf["state"].iloc[0] is not None else [])
-        verdicts = []
-        for t in pdf["t"]:
-            while taken and taken[0] < t - window:
-                taken.popleft()
-            ok = len(taken) < max_requests
-            if ok:
-                taken.append(t)
-            verdicts.append(ok)
-        return pd.DataFrame({"job_id": pdf["job_id"], "event_id": pdf["event_id"], "t": pdf["t"], "accepted": verdicts})
+    """Sequential acceptance over rows sorted by key and time.  What is held
+    is the accepted times of one key inside the window, `max_requests` at most."""
+    def run(batches):
+        key, taken = None, deque()
+        for pdf in batches:
+            verdicts = []
+            for job, t in zip(pdf["job_id"].tolist(), pdf["t"].tolist()):
+                if job != key:
+                    key = job
+                    taken.clear()
+                while taken and taken[0] < t - window:
+                    taken.popleft()
+                verdicts.append(len(taken) < max_requests)
+                if verdicts[-1]:
+                    taken.append(t)
+            yield pdf.assign(accepted=verdicts)
     return run
 
 
-_OUT = "job_id long, event_id long, t double, accepted boolean"
-
-
-def limit_requests(events: DataFrame, max_requests: int = 30, window: int = DAY, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def limit_requests(events: DataFrame, max_requests: int = 30, window: int = DAY) -> DataFrame:
     """Accept a request while fewer than `max_requests` of its key were accepted
     in the trailing window (inclusive edge); rejected ones do not count.
 
-    `events`: job_id, event_id, t (seconds).  Keys of ordinary size are folded
-    as groups; larger keys go through `_limit_hot`.
+    `events`: job_id, event_id, t (seconds).  A verdict depends on all earlier
+    ones of its key, so a key is read in order by one task, as a stream.
     """
     e = events.select("job_id", "event_id", F.col("t").cast("double").alias("t"))
-    sizes = e.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > fold_rows).select("job_id")
-    usual = e.join(hot, "job_id", "left_anti")
-    folded = usual.groupBy("job_id").applyInPandas(_fold(max_requests, window), _OUT)
-    if hot.isEmpty():
-        return folded
-    return folded.unionByName(_limit_hot(e.join(hot, "job_id"), max_requests, window))
-
-
-def _limit_hot(e: DataFrame, max_requests: int, window: int) -> DataFrame:
-    """Limit very large keys one window-long slice of time after another.
-
-    Within a slice no newly accepted request expires, so places free up only at
-    the known expiry times of requests accepted before.  Between two such times
-    only the first `max_requests` requests can be accepted; they are the only
-    candidates the sequential fold needs to see, at most a few hundred per key
-    and slice.  All others are rejections.
-    """
-    spark = e.sparkSession
-    first, last = e.agg(F.min("t"), F.max("t")).first()
-    state = spark.createDataFrame([], "job_id long, state array<double>")
-    done = []
-    start = first
-    while start <= last:
-        part = e.filter((F.col("t") >= start) & (F.col("t") < start + window))
-        part = part.join(state, "job_id", "left").withColumn("state", F.coalesce("state", F.array().cast("array<double>")))
-        freed = F.size(F.filter("state", lambda s: s + window < F.col("t")))
-        w = Window.partitionBy("job_id", "_gap").orderBy("t", "event_id")
-        cand = (part.withColumn("_gap", freed).withColumn("_i", F.row_number().over(w))
-                .filter(F.col("_i") <= max_requests).drop("_gap", "_i"))
-        taken = saved(cand.groupBy("job_id").applyInPandas(_fold(max_requests, window), _OUT).filter("accepted"), "accepted")
-        done.append(taken)
-        old = state.select("job_id", F.explode("state").alias("t"))
-        edge = start + window
-        state = saved(old.unionByName(taken.select("job_id", "t")).filter(F.col("t") >= edge - window)
-                      .groupBy("job_id").agg(F.array_sort(F.collect_list("t")).alias("state")), "limits")
-        start = edge
-    accepted = done[0]
-    for d in done[1:]:
-        accepted = accepted.unionByName(d)
-    flags = accepted.select("job_id", "event_id", "accepted")
-    return e.join(flags, ["job_id", "event_id"], "left").select(
-        "job_id", "event_id", "t", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    ordered = e.repartition("job_id").sortWithinPartitions("job_id", "t", "event_id")
+    return ordered.mapInPandas(_fold(max_requests, window), _OUT)
 
 
 def recent_requests(events: DataFrame, window: int = DAY) -> DataFrame:
