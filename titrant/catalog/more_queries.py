@@ -327,7 +327,9 @@ def request_limit_stream(s):
     return _drain(limits.limit_stream(_stream(s, e, "in"), LIMIT, SPAN)).select("job_id", "event_id", "accepted")
 
 
-@query("job_lifetime_stream")
+@query("job_lifetime_stream", f"""SELECT * FROM ({_LIFE}) WHERE expires <= (SELECT max({_T}) FROM events) - 4 * 3600""", False)
 def job_lifetime_stream(s):
+    """Sessions that the watermark has closed."""
     e = s.table("events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "create").otherwise("touch").alias("kind"))
-    return _drain(limits.lifetime_stream(_stream(s, e, "in")))
+    out = _drain(limits.lifetime_stream(_stream(s, e, "in")))
+    return out.withColumns({c: F.floor(F.unix_micros(c) / 1e6).cast("double") for c in ("created", "expires")})

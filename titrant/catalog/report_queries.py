@@ -192,11 +192,20 @@ def compact_report(s):
         *K, "name", "value_num", "unit", "ref_low", "ref_high", "direction", "severity", "is_panic", "health_topic", F.col("explanation.summary").alias("summary"))
 
 
-@query("explanation_inputs")
+_RANKED = f"""(SELECT *, row_number() OVER (PARTITION BY report_id, health_topic ORDER BY CASE WHEN abn THEN 0 WHEN unclear THEN 1 ELSE 2 END, is_panic DESC,
+  {ch.SEV.format('severity')} DESC, {_WDEV} DESC, lower(test_name), page_num, row_idx) AS rank_in_topic FROM canon)"""
+
+
+@query("explanation_inputs", f"""SELECT report_id, health_topic AS topic, rank_in_topic, test_name, direction, value_num, health_topic AS related, '- ' || norm_key AS snippets
+  FROM {_RANKED} JOIN (SELECT test_name, norm_key FROM names) USING (test_name) WHERE direction NOT IN ('in-range', 'indeterminate')""")
 def explanation_inputs(s):
+    """The written payloads, read back as rows."""
     ctx = s.names.select("test_name", F.array("health_topic").alias("related"), F.array().cast("array<string>").alias("conditions"),
                          F.array().cast("array<string>").alias("follow_ups"), F.array("norm_key").alias("snippets"))
-    return explain.explanation_inputs(rollup.rank_within_topics(s.canonical), ctx)
+    made = explain.explanation_inputs(rollup.rank_within_topics(s.canonical), ctx)
+    items = made.select("report_id", "topic", F.explode(F.from_json("payload", "array<struct<rank_in_topic:bigint,evidence:string,context:struct<related:array<string>>,snippets:string>>")).alias("i"))
+    e = F.from_json("i.evidence", "test_name string, direction string, value_num double")
+    return items.withColumn("e", e).select("report_id", "topic", "i.rank_in_topic", "e.test_name", "e.direction", "e.value_num", F.col("i.context.related")[0].alias("related"), "i.snippets")
 
 
 # ---- exports -------------------------------------------------------------
@@ -222,9 +231,18 @@ def csv_round_trip(s):
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("direction") == "high").alias("n_high"))
 
 
-@query("report_payload")
+@query("report_payload", f"""SELECT report_id, health_topic AS topic, rank_in_topic, test_name, value_num, unit, direction, severity, confidence FROM {_RANKED}
+  UNION ALL SELECT report_id, '', -1, r.headline, r.indeterminate_count, NULL, r.overall_status, NULL, NULL FROM rsum r""")
 def report_payload(s):
-    return reports.payload_parts(s.rolled)
+    """The written payloads, read back as rows; a report's head record has no topic."""
+    made = reports.payload_parts(s.rolled)
+    item = "rank_in_topic bigint, test_name string, value_num double, unit string, direction string, severity string, confidence string"
+    rows = made.filter("part >= 0").select("report_id", "topic", F.inline(F.from_json("payload", f"array<struct<{item.replace(' ', ':').replace(',:', ',')}>>")))
+    head = F.from_json("payload", "headline string, indeterminate_count double, overall_status string")
+    top = made.filter("part < 0").select("report_id", "topic", head.alias("h")).select(
+        "report_id", "topic", F.lit(-1).cast("long").alias("rank_in_topic"), F.col("h.headline").alias("test_name"), F.col("h.indeterminate_count").alias("value_num"),
+        F.lit(None).cast("string").alias("unit"), F.col("h.overall_status").alias("direction"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("confidence"))
+    return rows.unionByName(top)
 
 
 @query("full_analysis", f"""SELECT r.report_id, r.overall_status, r.indeterminate_count, r.headline, c.total_parsed, c.total_abnormal FROM rsum r

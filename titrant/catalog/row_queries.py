@@ -641,9 +641,13 @@ def qualitative_notes(s):
     return s.interpreted.filter("method is not null").select(*K, "evidence.qualitative_note")
 
 
-@query("evidence_trace")
+@query("evidence_trace", f"""SELECT {KEY}, test_name, loinc_code, value_num, value_text, unit, range_source, rng_low AS low, rng_high AS high, match_conf AS match_confidence, direction, severity,
+  is_panic, actionability, confidence AS composite_confidence, source_flag FROM itp""")
 def evidence_trace(s):
-    return s.interpreted.select(*K, F.to_json("evidence").alias("evidence"))
+    e = F.from_json(F.to_json("evidence"), s.interpreted.schema["evidence"].dataType)  # as it is written out
+    rows = s.interpreted.select(*K, e.alias("e"))
+    return rows.select(*K, *[f"e.{c}" for c in ("test_name", "loinc_code", "value_num", "value_text", "unit", "range_source", "match_confidence", "direction", "severity", "is_panic",
+                                                "actionability", "composite_confidence", "source_flag")], "e.reference_range.low", "e.reference_range.high")
 
 
 @query("source_flag_move", f"SELECT {KEY}, direction, source_flag AS trace_flag FROM itp")
