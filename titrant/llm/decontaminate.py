@@ -68,7 +68,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = shingled(docs, "doc_id").select("doc_id", F.posexplode_outer("sh").alias("at", "h"))
     anchors = places.join(marks, "h").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
     anchors = saved(anchors.withColumnRenamed("doc_id", "own"), "anchors")
-    found = shingled(docs, "doc_id").join(anchors, F.col("doc_id").eqNullSafe(F.col("own")))
+    # few documents hold an anchor: their ids alone make a small table, and only their texts are joined with the anchors
+    own = saved(anchors.select("own"), "anchored").withColumnRenamed("own", "wanted")
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(own, texts["doc_id"].eqNullSafe(own["wanted"]), "left_semi")
+    found = shingled(texts, "doc_id").join(anchors, F.col("doc_id").eqNullSafe(F.col("own")))
     found = found.select("doc_id", F.explode_outer(F.expr("transform(filter(starts, a -> a.at < size(sh)), a -> struct(a.n AS n, slice(sh, a.at + 1, a.n) AS sh))")).alias("x"))
     windows = saved(found.where("x is not null").select("doc_id", "x.n", "x.sh").distinct().withColumn("window", F.xxhash64("n", "sh")), "windows")
     texts = saved(windows.groupBy("window").agg(F.first("n").alias("n"), F.first("sh").alias("sh")).withColumn("fp", F.expr(FINGERPRINT)), "fingerprints")
