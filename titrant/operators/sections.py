@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from titrant.fixed import lexicons as lx
 from titrant.functions.keywords import has_any_word, words_found
+from titrant.session import saved
 
 STANDARD = "standard_lab_table"
 HPLC = "hplc_diabetes_block"
@@ -56,7 +57,7 @@ def assign_blocks(rows: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Data
     row stays in the running block.  Pages are cut into chunks of row positions
     so that no page, however long, is one task: each chunk finds its own block
     starts, a one-row-per-chunk summary carries the open type and the block
-    count from chunk to chunk.
+    count from chunk to chunk.  The typed rows are written once on the way.
     """
     page = ["report_id", "page_num"]
     chunk = [*page, "_chunk"]
@@ -70,7 +71,8 @@ def assign_blocks(rows: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Data
     # a row starts a sustained run when its successor has the same type
     seen = typed.withColumn("_next", F.lead("row_type").over(inside))
     seen = seen.withColumn("_anchor", F.when(F.col("_next") == F.col("row_type"), F.col("row_type")))
-    seen = seen.withColumn("_prev_anchor", F.last("_anchor", ignorenulls=True).over(before))
+    # kept as a table: the summary and the rows both start from it, and the patterns run once
+    seen = saved(seen.withColumn("_prev_anchor", F.last("_anchor", ignorenulls=True).over(before)), "typed")
 
     turn = F.col("_anchor").isNotNull() & F.col("_prev_anchor").isNotNull() & (
         F.col("_anchor") != F.col("_prev_anchor"))
