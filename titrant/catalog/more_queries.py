@@ -229,12 +229,13 @@ def node_upsert(s):
     return io.upsert(old, new, "node", F.when(F.col("name") == "new", 1).otherwise(0))
 
 
-@query("vector_batches", "SELECT count(*) AS n_docs, 0 AS oversized FROM embeddings", False)
+@query("vector_batches", "SELECT vec_id, label, embedding[1]::DOUBLE AS first_value, len(embedding) AS n_values, true AS small_batch FROM embeddings", False)
 def vector_batches(s):
     path = f"{ensure_checkpoint_dir(s.spark)}/vectors-{uuid.uuid4().hex}"
     io.write_vectors(s.table("embeddings"), path)
-    files = s.spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    return files.agg(F.sum("n").alias("n_docs"), F.count_if(F.col("n") > 50).alias("oversized"))
+    back = s.spark.read.parquet(path)
+    sizes = back.groupBy("batch").agg((F.count(F.lit(1)) <= 50).alias("small_batch"))
+    return back.join(sizes, "batch").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first_value"), F.size("embedding").alias("n_values"), "small_batch")
 
 
 # ---- keyed state ---------------------------------------------------------

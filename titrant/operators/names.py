@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from titrant.fixed.analytes import CATEGORY_TOPICS
 from titrant.functions import text as tx
 from titrant.session import saved
+from titrant.sources.dims import entry_order
 
 FUZZY_CUTOFF = 0.8
 
@@ -18,7 +19,7 @@ FUZZY_CUTOFF = 0.8
 def dictionary(names: DataFrame) -> DataFrame:
     """Name table flattened: one row per (kind, key) with loinc, topic and the
     position `ord` that first-match rules refer to; canonical names come first."""
-    numbered = names.withColumn("_entry", F.monotonically_increasing_id())
+    numbered = names.withColumn("_entry", entry_order(names))
     exact = numbered.select(F.lit(0).alias("kind"), "_entry", F.lit(0).alias("_lang"), F.lit(0).alias("_i"),
                             F.col("canonical").alias("name"), "loinc", "topic")
     alias = (numbered.select("_entry", "loinc", "topic", F.posexplode(F.map_entries("aliases")).alias("_lang", "e"))
@@ -50,7 +51,7 @@ def normal_keys(words: DataFrame) -> DataFrame:
 def topic_keys(names: DataFrame) -> DataFrame:
     """key -> topic over raw and normalised names.  Canonical names beat
     aliases; of equal canonicals the last holds, of equal aliases the first."""
-    numbered = names.filter(F.coalesce("topic", F.lit("")) != "").withColumn("_entry", F.monotonically_increasing_id())
+    numbered = names.filter(F.coalesce("topic", F.lit("")) != "").withColumn("_entry", entry_order(names))
     exact = numbered.select(F.lit(0).alias("kind"), F.struct((-F.col("_entry")).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("pos"),
                             F.col("canonical").alias("name"), "topic")
     alias = (numbered.select("_entry", "topic", F.posexplode(F.map_entries("aliases")).alias("_lang", "e"))
@@ -120,7 +121,7 @@ def match_names(names: DataFrame, table: DataFrame, similarity=ratcliff_ratio) -
 def add_topics(matched: DataFrame, table: DataFrame, categories: DataFrame) -> DataFrame:
     """Health topic per matched name: by code, raw name, normalised name, family
     category, else other; the last two count as inferred."""
-    by_code = (table.filter(F.coalesce("topic", F.lit("")) != "").withColumn("_n", F.monotonically_increasing_id())
+    by_code = (table.filter(F.coalesce("topic", F.lit("")) != "").withColumn("_n", entry_order(table))
                .groupBy(F.col("loinc").alias("loinc_code")).agg(F.max_by("topic", "_n").alias("_t1")))
     keys = topic_keys(table)
     joined = (matched.join(by_code, "loinc_code", "left")

@@ -25,11 +25,11 @@ RULE_SCHEMA = (
     "severity_bands array<struct<band:string,low:double,high:double>>, "
     "panic_low double, panic_high double")
 ALIAS_SCHEMA = (
-    "loinc string, canonical string, topic string, aliases map<string,array<string>>")
+    "ord bigint, loinc string, canonical string, topic string, aliases map<string,array<string>>")
 CONVERSION_SCHEMA = (
     "loinc_code string, canonical_unit string, factors array<struct<from_unit:string,factor:double>>")
 FAMILY_SCHEMA = (
-    "family string, loinc_codes array<string>, value_low double, value_high double, "
+    "ord bigint, family string, loinc_codes array<string>, value_low double, value_high double, "
     "range_low double, range_high double, category string")
 
 
@@ -50,8 +50,8 @@ def numeric_rules(spark: SparkSession) -> DataFrame:
 
 def name_table(spark: SparkSession) -> DataFrame:
     names = {code: {"core": list(words)} for code, words in fa.CORE_ALIASES}
-    return _table(spark, [dict(loinc=code, canonical=canonical, topic=topic, aliases=list(names.get(code, {}).items()))
-                          for code, canonical, topic in fa.ANALYTES], ALIAS_SCHEMA)
+    return _table(spark, [dict(ord=n, loinc=code, canonical=canonical, topic=topic, aliases=list(names.get(code, {}).items()))
+                          for n, (code, canonical, topic) in enumerate(fa.ANALYTES)], ALIAS_SCHEMA)
 
 
 def unit_conversions(spark: SparkSession) -> DataFrame:
@@ -60,9 +60,9 @@ def unit_conversions(spark: SparkSession) -> DataFrame:
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return _table(spark, [dict(family=n, loinc_codes=codes, value_low=float(v[0]), value_high=float(v[1]),
+    return _table(spark, [dict(ord=k, family=n, loinc_codes=codes, value_low=float(v[0]), value_high=float(v[1]),
                                range_low=float(r[0]), range_high=float(r[1]), category=cat)
-                          for n, codes, v, r, cat in ff.FAMILIES], FAMILY_SCHEMA)
+                          for k, (n, codes, v, r, cat) in enumerate(ff.FAMILIES)], FAMILY_SCHEMA)
 
 
 def human_bounds(spark: SparkSession) -> DataFrame:
@@ -116,7 +116,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """The full multilingual name table: loinc, canonical, topic, aliases by language."""
+    """The full multilingual name table: ord (place in the table), loinc, canonical, topic, aliases by language."""
     return spark.read.schema(ALIAS_SCHEMA).json(path)
 
 
@@ -168,8 +168,15 @@ def analytes(spark: SparkSession, rules: DataFrame | None = None, conversions: D
     return out
 
 
+def entry_order(table: DataFrame):
+    """Place of an entry in its table: its `ord`, whatever files it was split into.
+    Entries without one have a fixed but arbitrary order."""
+    usual = F.xxhash64(*[c for c in table.columns if not table.schema[c].dataType.typeName() == "map"])
+    return F.coalesce(F.col("ord"), usual) if "ord" in table.columns else usual
+
+
 def last_category(fams: DataFrame) -> DataFrame:
-    """Category per code; of several families the last listed one holds."""
-    numbered = fams.withColumn("_n", F.monotonically_increasing_id())
+    """Category per code; of several families the last in order holds."""
+    numbered = fams.withColumn("_n", entry_order(fams))
     return (numbered.select("_n", "category", F.explode("loinc_codes").alias("loinc_code"))
             .groupBy("loinc_code").agg(F.max_by("category", "_n").alias("category")))

@@ -67,9 +67,10 @@ def read_education(spark: SparkSession, path: str) -> DataFrame:
     return education_documents(files)
 
 
-def write_vectors(docs: DataFrame, path: str, per_file: int = 50) -> None:
-    """Write documents in files of at most `per_file` records."""
-    docs.write.mode("append").option("maxRecordsPerFile", per_file).parquet(path)
+def write_vectors(docs: DataFrame, path: str, per_batch: int = 50) -> None:
+    """Write documents with `batch`, the number of a group of at most
+    `per_batch` records, so that a loader can send them group by group."""
+    docs.withColumn("batch", F.floor(F.monotonically_increasing_id() / per_batch)).write.mode("append").parquet(path)
 
 
 def export_value() -> Column:
