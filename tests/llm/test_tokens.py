@@ -102,9 +102,11 @@ def test_token_files(spark, tmp_path):
 def test_chunk_encoder_blocks_of_long_texts(monkeypatch):
     encoder, library = token_files.ChunkEncoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     text = "Thon, it's\n" * 200_000 + "a" * 5000
-    assert np.frombuffer(encoder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
     monkeypatch.setattr(token_files, "REMEMBERED", 3)
-    assert np.frombuffer(encoder.encode("b c d e f g b"), np.uint32).tolist() == library.encode("b c d e f g b", add_special_tokens=False).ids
+    for _ in range(3):
+        encoder.encode(["b c d e", "f g h", "Él, É; x"])
+    assert np.frombuffer(encoder.encode(["b c d e f g b"])[0], np.uint32).tolist() == library.encode("b c d e f g b", add_special_tokens=False).ids
 
 
 def test_token_counts(spark):

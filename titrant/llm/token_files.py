@@ -6,9 +6,9 @@ so that readers work stripe by stripe and skip stripes that cannot hold a docume
 Each row carries its offset within its part; the parts' totals give the rest.
 
 White space always ends a word of this kind of tokenizer (its splitting
-pattern drops it), so each distinct blank-separated chunk is encoded once per
-worker by the library and remembered; so is a chunk's stem apart from closing
-punctuation, which the pattern splits from letters and digits.
+pattern drops it), so each distinct blank-separated chunk is encoded by the
+library and remembered by the worker.  Commas and points behind letters and
+digits, which the pattern splits off, are chunks of their own.
 
 Defined results: a null text is an empty one; each document ends with
 the end id; null doc_ids come first; rows that repeat a doc_id each have a
@@ -17,6 +17,8 @@ place, in the order of a hash of their texts.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Chunks remembered by a worker process: a bound of memory, without effect on results.
-REMEMBERED = 1_000_000
-CLOSING = ".,;:!?"
-#: Letters below this one stay single letters when lower-cased and composed.
-PLAIN = "\u0130"
+#: Chunks remembered by a worker process, in each of two generations (what is met again moves
+#: to the newer one): a bound of memory, without effect on results.
+REMEMBERED = 400_000
+#: A comma or point behind another sign.
+SIGNS = re.compile(r"[^\w \n\t\r][.,]|_[.,]")
 _loaded: dict[str, ChunkEncoder] = {}
 
 
@@ -39,48 +41,57 @@ class ChunkEncoder:
     """Ids of texts by a tokenizer that drops white space and lower-cases.
 
     Only blanks, tabs and line ends cut chunks; other white space is left to
-    the library.  ASCII chunks are looked up in lower case unless they may
-    hold a special token, whose case counts."""
+    the library.  A Latin-1 text without special tokens is lower-cased here, and its commas
+    and points are set off, unless one follows another sign, with
+    which it would be one word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _library(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[c] = array("I", e.ids).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        parts = {}
-        for c in missing:
-            base = c.lower() if c.isascii() and "<|" not in c else c
-            stem = base.rstrip(CLOSING)
-            parts[c] = (stem, base[len(stem):]) if stem and stem[-1] < PLAIN and stem[-1].isalnum() else (base,)
-        todo = {p for x in parts.values() for p in x if p not in self.known}
-        self._library(sorted(todo))
-        self.known.update((c, b"".join(self.known[p] for p in x)) for c, x in parts.items() if c not in self.known)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as machine unsigned 32-bit integers."""
-        out = []
-        for k in range(0, len(text) or 1, 1 << 20):
-            chunks = self._block(text, k)
-            missing = {c for c in chunks if c not in self.known}
-            if missing:
-                if len(self.known) > REMEMBERED:
-                    self.known = {"": b""}
-                    missing = set(chunks) - {""}
-                self._learn(missing)
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return b"".join(out)
+        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        steps = json.loads(self.library.to_str())["normalizer"] or {}
+        if {x["type"] for x in steps.get("normalizers", [steps])} <= {"NFC", "Replace", "Lowercase"}:
+            self.plain.normalizer = None  # changes nothing in plain lower-case chunks
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as machine unsigned 32-bit integers."""
+        split = [(k, *self._chunks(block)) for k, text in enumerate(texts) for block in _blocks(text)]
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        for library, plain in ((self.plain, True), (self.library, False)):
+            self._learn(library, set().union(*(c for _, c, simple in split if simple == plain)))
+        out, known = [b""] * len(texts), self.known.__getitem__
+        for k, chunks, _ in split:
+            out[k] += b"".join(map(known, chunks))
+        return out
+
+    def _learn(self, library, chunks: set[str]) -> None:
+        new = chunks.difference(self.known)
+        old = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in old)
+        todo = list(new - old)
+        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(todo, library.encode_batch_fast(todo, add_special_tokens=False)))
 
     @staticmethod
-    def _block(text: str, at: int) -> list[str]:
-        """Chunks that begin in the block of 2**20 characters at `at`."""
-        start, stop = (_next_cut(text, x) for x in (at, at + (1 << 20)))
-        return text[start:stop].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _chunks(block: str) -> tuple[list[str], bool]:
+        simple = "<|" not in block
+        try:
+            block.encode("latin-1")
+        except UnicodeEncodeError:
+            simple = False
+        if simple:
+            block = block.lower()
+            if not SIGNS.search(block):
+                block = block.replace(",", " ,").replace(".", " .")
+        return block.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), simple
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The text in blocks of about 2**20 characters, cut behind white space."""
+    for at in range(0, len(text) or 1, 1 << 20):
+        yield text[_next_cut(text, at):_next_cut(text, at + (1 << 20))]
 
 
 def _next_cut(text: str, at: int) -> int:
@@ -105,7 +116,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 some = b.slice(k, 500)
-                data = [encoder.encode(t) + end for t in some.column(1).to_pylist()]
+                data = [x + end for x in encoder.encode(some.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in data], np.int64)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), np.int32)))
@@ -124,7 +135,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     rows = spark.read.schema("doc_id long, part int, part_offset long, n_tokens long, ids array<int>").orc(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row per part
     base = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_base"))
-    return rows.join(base, "part").select("doc_id", (F.col("_base") + F.col("part_offset")).alias("start"), "n_tokens", "ids")
+    joined = rows.join(F.broadcast(base), "part")  # one row per written part
+    return joined.select("doc_id", (F.col("_base") + F.col("part_offset")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
