@@ -153,9 +153,12 @@ def analyte_flags(rows: DataFrame) -> DataFrame:
 
 
 def add_hplc_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
-    """Diabetes category of the row's block, for rows of such sections."""
-    key = F.when(F.col("section_type") == "hplc_diabetes_block", tx.raw_key(F.col("test_name")))
-    return rows.withColumn("hplc_key", key).join(categories, ["report_id", "hplc_key"], "left").drop("hplc_key")
+    """Diabetes category of the row's block.  Only rows of such sections are
+    joined; the others, nearly all, are not moved."""
+    block = F.coalesce(F.col("section_type") == "hplc_diabetes_block", F.lit(False))
+    inside = rows.filter(block).withColumn("hplc_key", tx.raw_key(F.col("test_name"))).join(categories, ["report_id", "hplc_key"], "left")
+    outside = rows.filter(~block).withColumn("hplc_category", F.lit(None).cast("string"))
+    return outside.unionByName(inside.drop("hplc_key"))
 
 
 def conform(rows: DataFrame) -> DataFrame:

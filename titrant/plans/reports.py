@@ -87,11 +87,12 @@ def enrich_rows(rows: DataFrame, know: Knowledge, blocks: DataFrame | None = Non
     kept from an earlier run; otherwise the distinct names are matched first."""
     if names is None:
         names = nm.name_dimension(rows, know.aliases, know.categories, know.qualitative)
-    a = conform.conform(conform.attach_dimensions(verify.verify(rows), names, know.analytes))
     if blocks is not None:
-        a = conform.add_hplc_category(a, hplc.category_by_name(blocks))
+        rows = conform.add_hplc_category(rows, hplc.category_by_name(blocks))
     else:
-        a = a.withColumn("hplc_category", F.lit(None).cast("string"))
+        rows = rows.withColumn("hplc_category", F.lit(None).cast("string"))
+    # the category comes first, while rows are narrow
+    a = conform.conform(conform.attach_dimensions(verify.verify(rows), names, know.analytes))
     return verify.reverify(a)
 
 
