@@ -339,13 +339,15 @@ def answer_shapes(s):
     return gr.coerce_answers(a).select("event_id", "answer", F.size("follow_ups").alias("n_follow_ups"), F.length(F.col("citations")[0].test_name).alias("cite_length"))
 
 
-@query("deterministic_answers", f"""SELECT s.report_id, CASE WHEN s.report_id % 3 = 0 THEN {ch._sql(lx.OUT_OF_SCOPE['fr'])} WHEN len(names) > 0 THEN headline || ' Items to discuss: ' || array_to_string(names, ', ') || '.' ELSE headline END AS answer, coalesce(r.serious, false) AS doctor_routing
-  FROM rsum s LEFT JOIN (SELECT report_id, bool_or(is_panic OR severity IN ('moderate', 'critical')) AS serious FROM canon GROUP BY 1) r USING (report_id)""")
+@query("deterministic_answers", f"""SELECT s.report_id, CASE WHEN s.report_id % 3 = 0 THEN {ch._sql(lx.OUT_OF_SCOPE['fr'])} WHEN len(names) > 0 THEN headline || ' Items to discuss: ' || array_to_string(names, ', ') || '.' ELSE headline END AS answer, coalesce(r.serious, false) AS doctor_routing, c.citations
+  FROM rsum s LEFT JOIN (SELECT report_id, string_agg(test_name || '=' || coalesce(value_num::VARCHAR, value_text, '') || '@' || health_topic, '; ' ORDER BY finding_rank) AS citations FROM fnd GROUP BY 1) c USING (report_id) LEFT JOIN (SELECT report_id, bool_or(is_panic OR severity IN ('moderate', 'critical')) AS serious FROM canon GROUP BY 1) r USING (report_id)""")
 def deterministic_answers(s):
     q = s.canonical.select("report_id").distinct().select("report_id", F.col("report_id").alias("answer_id"), F.lit("how").alias("question"),
                                                           F.when(F.col("report_id") % 3 == 0, "fr").otherwise("en").alias("language"))
     serious = s.canonical.groupBy("report_id").agg(F.bool_or(rollup.serious()).alias("report_serious"))
-    return gr.deterministic_answers(q, rollup.report_summary(s.canonical).join(serious, "report_id")).select("report_id", "answer", "doctor_routing")
+    return gr.deterministic_answers(q, rollup.report_summary(s.canonical).join(serious, "report_id")).select(
+        "report_id", "answer", "doctor_routing", F.nullif(F.array_join(F.transform("citations", lambda c: F.concat(
+            c.test_name, F.lit("="), F.coalesce(c.value, F.lit("")), F.lit("@"), c.health_topic)), "; "), F.lit("")).alias("citations"))
 
 
 # ---- parsing -------------------------------------------------------------

@@ -282,18 +282,25 @@ def coerce_answers(answers: DataFrame) -> DataFrame:
         "follow_ups": F.slice(F.transform("follow_ups", lambda x: F.substring(x, 1, 200)), 1, 5)})
 
 
+CITATIONS = "array<struct<test_name:string,value:string,unit:string,health_topic:string>>"
+
+
 def deterministic_answers(questions: DataFrame, summaries: DataFrame) -> DataFrame:
     """Answer from the report summary alone, for questions nothing answered.
     `summaries` holds report_id, headline, top_findings, report_serious."""
     j = questions.join(summaries, "report_id", "left")
-    names = F.transform(F.slice("top_findings", 1, 3), lambda f: f.test_name)
+    leading = F.slice("top_findings", 1, 3)
+    names = F.transform(leading, lambda f: f.test_name)
+    citations = F.transform(leading, lambda f: F.struct(
+        f.test_name.alias("test_name"), F.coalesce(f.value_num.cast("string"), f.value_text).alias("value"),
+        f.finding_unit.alias("unit"), f.finding_topic.alias("health_topic")))
     base = F.coalesce(F.nullif(F.col("headline"), F.lit("")), F.lit("I can summarize what's in this report."))
     english = F.when(F.size(names) > 0, F.concat(base, F.lit(" Items to discuss: "), F.array_join(names, ", "), F.lit("."))).otherwise(base)
     lang = F.col("language")
     return j.select(
         "report_id", "answer_id",
         F.when(lang == "en", english).otherwise(refusal_text(lang, F.lit("llm_unavailable"))).alias("answer"),
-        F.coalesce(names, F.array().cast("array<string>")).alias("cited"), follow_ups(lang).alias("follow_ups"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("cited"), F.coalesce(citations, F.array().cast(CITATIONS)).alias("citations"), follow_ups(lang).alias("follow_ups"),
         (F.coalesce("report_serious", F.lit(False)) | acute_symptom(F.col("question"), lang)).alias("doctor_routing"),
         F.lit(False).alias("refused"))
 
