@@ -37,7 +37,7 @@ def table(spark, rows):
 def test_byte_bpe(spark):
     rows = list(enumerate(texts())) + [(None, "a b"), (1, "")]
     path = P.path("byte_bpe_50k.tiktoken")
-    got = byte_bpe.decode(byte_bpe.encode(table(spark, rows), path, P.PATTERN), path, P.PATTERN).collect()
+    got = byte_bpe.decode(byte_bpe.encode(table(spark, rows), path, P.PATTERN), path).collect()
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     want = sorted((d is None, d or 0, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in got) == want

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: Matches up to so many bytes are merged side by side.
 SHORT = 64
 #: Characters of text split at once, and matches remembered by a worker: bounds of memory, without effect on results.
-BLOCK_CHARS, REMEMBERED = 1 << 20, 1_000_000
+BLOCK_CHARS, REMEMBERED = 1 << 19, 250_000
 _NONE = np.uint64((1 << 64) - 1)
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -36,16 +37,17 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.uint64)
-        order = np.argsort(keys)
-        self._keys, self._values = keys[order], np.array(list(self.pairs.values()), np.uint64)[order]
+        found = np.array([(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks], np.uint64).reshape(-1, 2)
+        order = np.argsort(found[:, 0])
+        self._keys, self._values = found[order, 0].copy(), found[order, 1].copy()
         self._bytes = np.array([ranks[bytes([b])] for b in range(256)], np.uint64)
         self._known: dict[str, bytes] = {}
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Ranks by left id << 32 | right id, for matches merged one by one."""
+        return dict(zip(self._keys.tolist(), self._values.tolist()))
+
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << np.uint64(32) | right
         at = np.searchsorted(self._keys, key)
@@ -114,7 +116,7 @@ class ByteBPE:
         none, pairs = 1 << 64, self.pairs
         tree = [none] * (2 * size)
         for k in range(n - 1):
-            if (rank := pairs.get((ids[k], ids[k + 1]))) is not None:
+            if (rank := pairs.get(ids[k] << 32 | ids[k + 1])) is not None:
                 tree[size + k] = rank << 32 | k
         for k in range(size - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
@@ -130,7 +132,7 @@ class ByteBPE:
                 tree[node] = value
 
         def pair(left, right):
-            rank = pairs.get((ids[left], ids[right]))
+            rank = pairs.get(ids[left] << 32 | ids[right])
             return none if rank is None else rank << 32 | left
 
         live = bytearray(b"\1") * n
@@ -193,9 +195,6 @@ class ByteBPE:
             self._known.clear()
         self._learn(set().union(*blocks).difference(self._known))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 def _spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about BLOCK_CHARS characters."""
@@ -209,14 +208,19 @@ def _spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A vocabulary of lines `base64 rank`."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 _loaded: dict[tuple[str, str], ByteBPE] = {}
 
 
 def load(path: str, pattern: str) -> ByteBPE:
-    """A vocabulary of lines `base64 rank`, once per worker process."""
+    """An encoder, once per worker process."""
     if (path, pattern) not in _loaded:
-        with open(path, "rb") as f:
-            _loaded[path, pattern] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+        _loaded[path, pattern] = ByteBPE(read_ranks(path), pattern)
     return _loaded[path, pattern]
 
 
@@ -225,23 +229,23 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 300):
+                some = b.slice(at, 300)
                 ids = list(bpe.encode(some.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The input's rows with `decoded`, the bytes of `ids`."""
     at = encoded.columns.index("ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
+        token = {rank: data for data, rank in read_ranks(path).items()}.__getitem__
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                some = b.slice(k, 1000)
-                out = pa.array([x.as_py() is not None and bpe.decode(x.as_py()) or b"" for x in some.column(at)], pa.binary())
+            for k in range(0, b.num_rows, 200):
+                some = b.slice(k, 200)
+                out = pa.array([b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in some.column(at)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns, out], [*some.schema.names, "decoded"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
