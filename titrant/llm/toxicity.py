@@ -1,10 +1,13 @@
 """Operator 8: toxicity by compression distance.
 
-Two zstandard dictionaries: one of ordinary text, and one of strings that toxic text
-repeats in many contexts and ordinary text does not, laid over the first.
-Every window of a text is compressed with both; what the toxic dictionary
-saves, over all windows, is turned into a probability by thresholds and
-weights calibrated on labelled documents that no dictionary has seen.
+Two dictionaries trained by zstandard, one on ordinary and one on toxic text, and a third of
+strings that toxic text repeats in many contexts and ordinary text does not,
+laid over the ordinary one.  Every window of a text is compressed with all three; what
+the trained toxic dictionary and the third save against the ordinary one, over all windows, is
+turned into a probability by thresholds and weights calibrated on labelled
+documents that no dictionary has seen.  The trained pair sees all wording of toxic
+text, the rare, the short and the ordinary in toxic phrases too; the strings
+weigh what is frequent in it without the noise between two dictionaries.
 
 Words are counted by distinct contexts (word before, word after), so that
 copies of a document count once.  The literals of a window stay under the size
@@ -32,12 +35,13 @@ from titrant.session import saved
 #: (ordinary, toxic) documents at most for dictionaries and calibration together; half of them for each.
 SAMPLE = (8_000, 4_000)
 WINDOW = 50
-ORDINARY_BYTES, PIECE_CHARS, PIECES = 16384, 256, 4
+#: Size of each trained dictionary, and what it is trained on: evenly spaced pieces of a document.
+TRAINED_BYTES, PIECE_CHARS, PIECES = 16384, 256, 4
 #: A toxic word beginning: contexts at least, times its rate in ordinary text at least, letters; candidates kept at most.
 CONTEXTS, TIMES, LETTERS, LONGEST, STRINGS = 8, 12, 4, 14, 5000
 #: Share of a beginning's uses that a longer one must keep to replace it.
 AGREE = 0.8
-#: Stands before each window and in both dictionaries: makes every window compressible, so that none is stored raw.
+#: Stands before each window and in all dictionaries: makes every window compressible, so that none is stored raw.
 LEAD = b"#" * 32
 #: Stands behind each window: zstandard starts no match in the last eight bytes.
 TAIL = b"#" * 8
@@ -65,41 +69,43 @@ def compressor(content: bytes) -> Callable[[bytes], bytes]:
     return zstandard.ZstdCompressor(compression_params=how, dict_data=data).compress
 
 
-def features(text: str, ordinary, toxic) -> list[float]:
-    """Mean saving and shares of windows over each step, also scaled by the
-    root of the number of windows, as for a sum of independent ones."""
-    n = total = 0
-    over = [0] * len(STEPS)
+def features(text: str, ordinary, *toxic) -> list[float]:
+    """For each toxic dictionary: mean saving and shares of windows over each step, also
+    scaled by the root of the number of windows, as for a sum of independent ones."""
+    n, total = 0, [0] * len(toxic)
+    over = [[0] * len(STEPS) for _ in toxic]
     for w in windows(text):
         whole = LEAD + w + TAIL
-        saving = len(ordinary(whole)) - len(toxic(whole))
+        plain = len(ordinary(whole))
         n += 1
-        if saving:
-            total += saving
-            for k, step in enumerate(STEPS):
-                over[k] += saving >= step
+        for d, compress in enumerate(toxic):
+            saving = plain - len(compress(whole))
+            if saving:
+                total[d] += saving
+                for k, step in enumerate(STEPS):
+                    over[d][k] += saving >= step
     if not n:
-        return [0.0] * (2 * len(STEPS) + 3)
-    root, mean = n ** 0.5, [total / n, *(x / n for x in over)]
+        return [0.0] * (2 * (len(STEPS) + 1) * len(toxic) + 1)
+    root, mean = n ** 0.5, [x / n for t, o in zip(total, over) for x in (t, *o)]
     return [*mean, *(x * root for x in mean), min(root, 30.0)]
 
 
 class Model:
     """Dictionary contents and the calibration; small, so it travels in closures."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = ordinary + LEAD * 2, toxic + ordinary + LEAD * 2
+    def __init__(self, ordinary: bytes, toxic: bytes, strings: bytes):
+        self.contents = [x + LEAD * 2 for x in (ordinary, toxic, strings + ordinary)]
         self.mean = self.scale = self.beta = None
 
     def measure(self, docs: DataFrame) -> DataFrame:
         """The input's other columns and `x`, the features of `text` (the last column)."""
-        ordinary, toxic = self.ordinary, self.toxic
+        contents = self.contents
         columns = docs.columns[:-1]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, b = compressor(ordinary), compressor(toxic)
+            all_three = [compressor(x) for x in contents]
             for batch in batches:
-                x = [features(t.as_py(), a, b) for t in batch.column(len(columns))]
+                x = [features(t.as_py(), *all_three) for t in batch.column(len(columns))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
         return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("x", ArrayType(DoubleType()))]))
 
@@ -141,11 +147,11 @@ def distinct_beginnings(counts: dict[str, int]) -> list[str]:
     return sorted(out, key=lambda b: (-out[b], b))
 
 
-def ordinary_content(pieces: list[bytes]) -> bytes:
+def trained_content(pieces: list[bytes]) -> bytes:
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, pieces).as_bytes()
+        return zstandard.train_dictionary(TRAINED_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
-        return b" ".join(pieces)[-ORDINARY_BYTES:]
+        return b" ".join(pieces)[-TRAINED_BYTES:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
@@ -155,11 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     sampled = saved(texts.join(chosen, "doc_id").select("doc_id", "label", "weight", "half", "text"), "toxicity-sample")
     first = sampled.where("half = 0")
     at = F.expr(f"transform(sequence(0, {PIECES - 1}), k -> substring(lower(text), 1 + cast(k * char_length(text) / {PIECES} AS int), {PIECE_CHARS}))")
-    pieces = [p.encode() for r in first.where("label = 0").select(at.alias("p")).toLocalIterator() for p in r.p if p]
+    pieces = {0: [], 1: []}
+    for r in first.select("label", at.alias("p")).toLocalIterator():
+        pieces[r.label] += [p.encode() for p in r.p if p]
     strings = toxic_strings(first)
-    model = Model(ordinary_content(pieces), b"".join(b" " + w.encode() for w in reversed(strings)))
+    model = Model(trained_content(pieces[0]), trained_content(pieces[1]), b"".join(b" " + w.encode() for w in reversed(strings)))
     rows = model.measure(sampled.where("half = 1").select("label", "weight", "text")).collect()
-    x = np.array([r.x for r in rows] or [features("", compressor(b""), compressor(b""))])
+    x = np.array([r.x for r in rows] or [features("", *[compressor(b"")] * 3)])
     model.calibrate(x, np.array([r.label for r in rows] or [0]), np.array([r.weight for r in rows] or [1.0]))
     return model
 
