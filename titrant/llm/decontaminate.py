@@ -28,6 +28,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titrant.llm.rows import row_key
 from titrant.session import saved
 
 SIMILARITY = 0.8
@@ -87,10 +88,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without leaks, with their columns.  Rows without doc_id
-    share one fate: they go if one of them leaks."""
-    bad = saved(leaks(docs, benchmark).select(F.col("doc_id").alias("own")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["own"]), "left_anti").select(*docs.columns)
+    """The documents without leaks, with their columns.  Decided by row: a row
+    goes if its own text leaks, whatever other rows share its doc_id or have none."""
+    keyed = docs.select(row_key(docs).alias("doc_id"), "text")
+    bad = saved(leaks(keyed, benchmark).select(F.col("doc_id").alias("own")).distinct(), "leaks")
+    return docs.join(bad, row_key(docs) == bad["own"], "left_anti").select(*docs.columns)
 
 
 #: The same result in DuckDB: every window that starts at a shingle of an item, without fingerprints.

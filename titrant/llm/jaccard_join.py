@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titrant.llm import pairs
+from titrant.llm.rows import row_key
 from titrant.llm.shingles import MinHash, digest, mix, shingle_set
 from titrant.session import saved
 
@@ -181,10 +182,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their class; repeated rows of
-    that document stay one row.  Rows without doc_id stay."""
-    gone = saved(jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    repeated = saved(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One row of each class, the one of smallest doc_id (rows without doc_id
+    come last).  Decided by row: of texts that share a doc_id only those that are
+    copies go, and rows without doc_id are compared like others.  Rows that
+    repeat both doc_id and text stay one row."""
+    rows = saved(docs.groupBy(row_key(docs).alias("key")).agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.count(F.lit(1)).alias("rows")), "rows")
+    classed = jaccard_join(docs.select(row_key(docs).alias("doc_id"), "text"))
+    linked = saved(classed.where("n_links > 0").select(F.col("doc_id").alias("key"), "class_id").distinct(), "linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    chosen = linked.join(rows, "key").groupBy("class_id").agg(first).select("first.key")
+    gone = saved(linked.select("key").join(chosen, "key", "left_anti"), "gone")
+    repeated = saved(rows.where("rows > 1").select("key"), "repeated")
+    stay = docs.join(gone, row_key(docs) == gone["key"], "left_anti").select(*docs.columns)
+    once = stay.join(repeated, row_key(stay) == repeated["key"], "left_anti").select(*docs.columns)
+    return once.union(stay.join(repeated, row_key(stay) == repeated["key"], "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
