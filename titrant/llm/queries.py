@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrant.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, labelled, language, licences, quality, token_counts, token_files, toxicity
+from titrant.llm import byte_bpe, decontaminate, divergence, embedding_dedup, jaccard_join, labelled, language, licences, quality, token_counts, token_files, toxicity
 from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op10_licences(spark, sf_dir):
 
 
 SQL["op10_licences"] = licences.sql()
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = divergence.SQL
