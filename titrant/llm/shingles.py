@@ -61,20 +61,25 @@ def word_blocks(text: str) -> Iterator[list[str]]:
         yield block
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    tail, parts = np.empty(0, _U), []
+def shingle_hashes(text: str | None) -> Iterator[np.ndarray]:
+    """Shingle hashes of a whole text in blocks, in order, repeated ones too."""
+    tail, some = np.empty(0, _U), False
     for block in word_blocks(text or ""):
         h = np.concatenate([tail, hash_words(block)])
         if len(h) >= WIDTH:
-            n, acc = len(h) - WIDTH + 1, np.zeros(len(h) - WIDTH + 1, _U)
+            n, acc, some = len(h) - WIDTH + 1, np.zeros(len(h) - WIDTH + 1, _U), True
             for k in range(WIDTH):
                 acc = mix(acc * _U(_BASE) + h[k:k + n])
-            parts.append(np.unique(acc))
+            yield acc
         tail = h[-(WIDTH - 1):]
-    if not parts:
-        return mix(np.array([int(sum(int(x) * _BASE ** (k + 1) for k, x in enumerate(tail))) & (1 << 64) - 1], _U)) if len(tail) else tail
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+    if not some and len(tail):
+        yield mix(np.array([int(sum(int(x) * _BASE ** (k + 1) for k, x in enumerate(tail))) & (1 << 64) - 1], _U))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text."""
+    parts = [np.unique(x) for x in shingle_hashes(text)]
+    return np.empty(0, _U) if not parts else parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def digest(values: np.ndarray) -> int:
