@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrant.llm import byte_bpe, decontaminate, divergence, embedding_dedup, fingerprints, jaccard_join, labelled, language, licences, quality, token_counts, token_files, toxicity
+from titrant.llm import byte_bpe, decontaminate, divergence, embedding_dedup, fingerprints, jaccard_join, labelled, language, licences, quality, token_counts, token_files, toxicity, whitening
 from titrant.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ SQL["op11_source_divergence"] = divergence.SQL
 @query
 def op12_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
