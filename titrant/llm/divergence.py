@@ -33,7 +33,7 @@ from titrant.session import saved
 
 LEAST_DOCS, RANKS, SCALE = 3, 200, 1_000_000_000
 #: Terms counted by a task before it passes them on, bytes cut at once, rows paired at once: bounds of memory, without effect on results.
-HELD, BLOCK_BYTES, PAIR_ROWS = 400_000, 1 << 22, 100_000
+HELD, BLOCK_BYTES, PAIR_ROWS = 1_200_000, 1 << 22, 100_000
 #: Letters and all bytes of other scripts stay, A-Z in lower case; the rest ends a term.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
