@@ -69,8 +69,51 @@ def test_windows_hold_the_whole_text():
         assert all(0 < len(w) <= toxicity.WINDOW for w in toxicity.windows(text))
 
 
-def test_distinct_beginnings():
-    assert toxicity.distinct_beginnings({"wort": 50, "worth": 50, "worthless": 48, "low": 9, "lowe": 5, "xyz": 3}) == ["worthless", "low", "xyz"]
+def test_features_against_plain_compression():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60)]
+    ordinary, toxic = " ".join(words[:40]).encode(), [" ".join(words[40:]).encode(), b" ".join(w.encode() for w in words[50:])]
+    contents = toxicity.Model(ordinary, toxic).contents
+    for n in (0, 1, 30, 400):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        savings = [[] for _ in toxic]
+        for w in toxicity.windows(text):
+            plain, *others = [len(toxicity.compressor(c)(toxicity.LEAD + w + toxicity.TAIL)) for c in contents]
+            for k, other in enumerate(others):
+                savings[k].append(plain - other)
+        n_windows, want = len(savings[0]), []
+        for s in savings:
+            want += [sum(s) / max(1, len(s))] + [sum(x >= step for x in s) / max(1, len(s)) for step in toxicity.STEPS]
+        got = toxicity.features(text, *map(toxicity.compressor, contents))
+        assert got == pytest.approx([*want, *(x * n_windows ** 0.5 for x in want), np.log1p(n_windows)])
+    assert n_windows > 50 and any(x > 0 for x in savings[0])
+
+
+def test_stretches_and_gram_counts(spark):
+    texts = [("the bad word", 1), ("THE bad, bad worm", 1), ("the good word", 0), ("", 0), ("é", 1)]
+    wanted = np.array(sorted(toxicity.grams(b" bad w").tolist()), np.int64)
+    assert toxicity.stretches("the bad word is a bad word; a bad, bad worm", wanted) == b" bad w"
+    assert toxicity.stretches("none", wanted) == b"" and toxicity.stretches("", wanted) == b""
+    got = {r.gram: (r.one, r.zero) for r in toxicity.gram_counts(spark.createDataFrame(texts, "text string, label int").repartition(2)).collect()}
+    want = {}
+    for t, y in texts:
+        data = b" " + t.lower().encode() + b" "
+        for g in {data[k:k + 5] for k in range(len(data) - 4)}:
+            one, zero = want.get(int.from_bytes(g, "big"), (0, 0))
+            want[int.from_bytes(g, "big")] = one + y, zero + 1 - y
+    assert got == want
+
+
+def test_fits_are_bounded_and_blind_to_file_order(spark):
+    rows = made(5, 200, lambda rng, w: rng.choice(["wretched", "blighter"]) if rng.random() < 0.1 else w)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, f"copy {k % 3}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, mark int")
+    chosen = labelled.sample(docs, labels, "mark", 50, 40, 1)
+    assert {r.label: r["count"] for r in chosen.groupBy("label").count().collect()} == {0: 50, 1: 40}
+    assert labelled.sample(docs, labels, "mark", 500, 500, 1).count() == 200
+    models = [(toxicity.fit(d, labels, "mark"), quality.fit(d, labels, "mark")) for d in (docs.repartition(1), docs.repartition(7))]
+    assert models[0][0].contents == models[1][0].contents and models[0][0].beta.tolist() == models[1][0].beta.tolist()
+    assert models[0][1].weights.tolist() == models[1][1].weights.tolist()
 
 
 def test_quality(spark):
@@ -119,6 +162,7 @@ def test_leader_matches_a_plain_loop():
 
 def test_sample_is_bounded_and_weighted(spark):
     labels = spark.createDataFrame([(i, int(i < 30)) for i in range(200)] + [(5, 0)], "doc_id long, mark int")
-    rows = labelled.sample(labels, "mark", 40, 50, 1).collect()
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    rows = labelled.sample(docs, labels, "mark", 40, 50, 1).collect()
     assert sorted((r.label, r.weight) for r in rows) == [(0, 170 / 40)] * 40 + [(1, 1.0)] * 30
     assert {r.half for r in rows} == {0, 1}

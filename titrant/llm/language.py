@@ -5,8 +5,10 @@ maximum of each filter over a window feeds a softmax.  A text's score for a
 language is the mean over all its windows, which overlap by the widest
 filter less one, so every byte sequence is seen.  Trained here in numpy.
 
-Bound of the fit: about PER_LANGUAGE documents of each language, chosen by a hash,
-and PIECES windows of each.  Defined results: `und` with score 0 for null texts, texts
+Bound of the fit: about PER_LANGUAGE documents (twice as many at most, one row per
+doc_id) of each of the LANGUAGES commonest languages, chosen by a hash, and PIECES windows
+of each.  Whole texts are predicted, however long.  Columns other than doc_id,
+text and, in the fit, lang are ignored.  Defined results: `und` with score 0 for null texts, texts
 without letters, and without learned languages.  One row per input row.
 """
 
@@ -16,10 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANGUAGE, PIECES = 400, 12
+from titrant.llm import labelled
+
+PER_LANGUAGE, LANGUAGES, PIECES = 400, 500, 12
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 6
 STEP = WINDOW - max(WIDTHS) + 1
 EPOCHS, BATCH, RATE = 4, 128, 0.01
@@ -113,9 +117,12 @@ def fit(docs: DataFrame) -> ByteNet:
     """A network from the text and lang of the rows given; callers leave held-out rows out."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("lang is not null and text is not null and doc_id is not null")
-    counts = known.groupBy("lang").count()  # one row per language
-    rate = F.broadcast(counts.select("lang", (PER_LANGUAGE / F.col("count")).alias("rate")))
-    chosen = known.join(rate, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).where(F.expr(r"text rlike '\\p{L}'"))
+    learned = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rate = F.broadcast(learned.select("lang", (PER_LANGUAGE / F.col("count")).alias("rate")))  # LANGUAGES rows
+    chosen = known.join(rate, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).drop("rate").where(F.expr(r"text rlike '\\p{L}'"))
+    # a hot id may be drawn with all its rows: one row each, then so many of a language by rank
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    chosen = labelled.one_row_each(chosen).withColumn("rank", rank).where(F.col("rank") <= 2 * PER_LANGUAGE)
     pieces = F.expr(f"array_distinct(transform(sequence(0, {PIECES - 1}), k -> substring(text, 1 + cast(k * char_length(text) / {PIECES} AS int), {WINDOW})))")
     rows = chosen.select("doc_id", "lang", pieces.alias("pieces")).orderBy("doc_id", "lang").collect()
     languages = sorted({r.lang for r in rows})

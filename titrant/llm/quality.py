@@ -5,9 +5,10 @@ Tokens are runs of word characters or of other visible characters, in lower
 case; features are single tokens and neighbouring pairs, hashed to 2**BITS
 places, weighted by count / root of the sum of squared counts.
 
-Bound of the fit: SAMPLE labelled documents, chosen by a hash.  Defined
-results: null and empty texts have no features and get the score of the constant; without
-labels the score is 0.5.  One row per input row.
+Bound of the fit: SAMPLE labelled documents, chosen by a hash, one row per doc_id.  Defined
+results: null and empty texts have no features and get the score of the constant; very
+long texts are counted in blocks, whole; without labels the score is 0.5.  One row per input row, repeated or
+not.  Columns other than doc_id, text and the label are ignored; `remove_poor` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,13 +90,12 @@ def _sparse_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     """A model from the labels given; callers leave held-out rows out of them."""
-    chosen = F.broadcast(labelled.sample(labels, column, *SAMPLE, salt=4))  # bounded by SAMPLE
-    sampled = labelled.documents(docs).join(chosen, "doc_id").select("label", "weight", "text", "doc_id")
+    sampled = labelled.sample(docs, labels, column, *SAMPLE, salt=4)
     rows = saved(sampled.select("label", "weight", "text").mapInArrow(_sparse_rows, "label int, weight double, place binary, value binary"), "quality-sample")
     read = [(np.frombuffer(r.place, np.int32), np.frombuffer(r.value, np.float32), r.label, r.weight) for r in rows.toLocalIterator()]
     mean = np.mean([r[3] for r in read]) if read else 1.0
     model = Model()
-    model.train(sorted([(p, v, y, w / mean) for p, v, y, w in read], key=lambda r: (len(r[0]), r[0].tobytes()[:64], r[2])))
+    model.train(sorted([(p, v, y, w / mean) for p, v, y, w in read], key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2])))
     return model
 
 

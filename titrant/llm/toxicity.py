@@ -1,28 +1,36 @@
 """Operator 8: toxicity by compression distance.
 
-Two dictionaries trained by zstandard, one on ordinary and one on toxic text, and a third of
-strings that toxic text repeats in many contexts and ordinary text does not,
-laid over the ordinary one.  Every window of a text is compressed with all three; what
-the trained toxic dictionary and the third save against the ordinary one, over all windows, is
-turned into a probability by thresholds and weights calibrated on labelled
-documents that no dictionary has seen.  The trained pair sees all wording of toxic
-text, the rare, the short and the ordinary in toxic phrases too; the strings
-weigh what is frequent in it without the noise between two dictionaries.
-
-Words are counted by distinct contexts (word before, word after), so that
-copies of a document count once.  The literals of a window stay under the size
+zstandard trains one dictionary on ordinary text and two on toxic text.  The
+toxic ones are trained on what ordinary text does not explain: of each toxic
+document, the stretches made of byte grams that a larger share of toxic than of ordinary
+documents hold, by the factors of CONTRASTS.  Each is laid over the ordinary dictionary, so that
+the difference of two lengths of a window is what toxic wording alone saves.
+A wide contrast sees the rare wording, a narrow one has less noise.  The
+savings over all windows of a text are turned into a probability by
+thresholds and weights calibrated on labelled documents that no dictionary has seen.
+
+Grams count once a document, so words, parts of words and phrases of
+ordinary words all count alike.  The literals of a window stay under the size
 from which zstandard entropy-codes them, so lengths differ by matches alone.
 
-Bound of the fit: SAMPLE labelled documents, chosen by a hash.  Defined results: null and empty texts get the score of an
-empty window; without labels of both kinds the score is the labels' mean, or 0
-without labels.  One row per input row.
+Bound of the fit: SAMPLE labelled documents, chosen by a hash, one row per doc_id;
+their whole texts, but for the ordinary dictionary, which is trained on PIECES
+pieces of PIECE_CHARS characters of each.
+
+Defined results: null and empty texts get the score of an empty window; very long
+texts are cut into windows like others; without labels of both kinds the score
+is the labels' mean, or 0 without labels.  One row per input row, repeated or not.
+Columns other than doc_id, text and the label are ignored; `remove_toxic`
+keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,12 +43,15 @@ from titrant.session import saved
 #: (ordinary, toxic) documents at most for dictionaries and calibration together; half of them for each.
 SAMPLE = (8_000, 4_000)
 WINDOW = 50
-#: Size of each trained dictionary, and what it is trained on: evenly spaced pieces of a document.
+#: The ordinary dictionary: its size, and what it is trained on, evenly spaced pieces of a document.
 TRAINED_BYTES, PIECE_CHARS, PIECES = 16384, 256, 4
-#: A toxic word beginning: contexts at least, times its rate in ordinary text at least, letters; candidates kept at most.
-CONTEXTS, TIMES, LETTERS, LONGEST, STRINGS = 8, 12, 4, 14, 5000
-#: Share of a beginning's uses that a longer one must keep to replace it.
-AGREE = 0.8
+#: Bytes of a gram: the shortest match that zstandard makes here.
+GRAM = 5
+#: For each toxic dictionary: by what factor a gram's documents must exceed their number expected
+#: from ordinary text, plus one; and its size.  Segments of the trainer, in bytes.
+CONTRASTS, SEGMENT = ((2, 2048), (4, 1024)), {"k": 16, "d": 6}
+#: Stands in a trained file before its content: the first three offsets that the format repeats.
+OFFSETS = b"\1\0\0\0\4\0\0\0\10\0\0\0"
 #: Stands before each window and in all dictionaries: makes every window compressible, so that none is stored raw.
 LEAD = b"#" * 32
 #: Stands behind each window: zstandard starts no match in the last eight bytes.
@@ -87,14 +98,14 @@ def features(text: str, ordinary, *toxic) -> list[float]:
     if not n:
         return [0.0] * (2 * (len(STEPS) + 1) * len(toxic) + 1)
     root, mean = n ** 0.5, [x / n for t, o in zip(total, over) for x in (t, *o)]
-    return [*mean, *(x * root for x in mean), min(root, 30.0)]
+    return [*mean, *(x * root for x in mean), float(np.log1p(n))]
 
 
 class Model:
     """Dictionary contents and the calibration; small, so it travels in closures."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, strings: bytes):
-        self.contents = [x + LEAD * 2 for x in (ordinary, toxic, strings + ordinary)]
+    def __init__(self, ordinary: bytes, toxic: list[bytes]):
+        self.contents = [x + LEAD * 2 for x in (ordinary, *(t + ordinary for t in toxic))]
         self.mean = self.scale = self.beta = None
 
     def measure(self, docs: DataFrame) -> DataFrame:
@@ -103,9 +114,9 @@ class Model:
         columns = docs.columns[:-1]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            all_three = [compressor(x) for x in contents]
+            dictionaries = [compressor(x) for x in contents]
             for batch in batches:
-                x = [features(t.as_py(), *all_three) for t in batch.column(len(columns))]
+                x = [features(t.as_py(), *dictionaries) for t in batch.column(len(columns))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
         return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("x", ArrayType(DoubleType()))]))
 
@@ -119,55 +130,82 @@ class Model:
         return 1 / (1 + F.exp(-sum(terms, F.lit(float(self.beta[-1])))))
 
 
-def toxic_strings(sampled: DataFrame) -> list[str]:
-    """Word beginnings that toxic documents use in many contexts and ordinary ones hardly."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    near = sampled.select("label", words.alias("w")).where("size(w) >= 3").select(
-        "label", F.explode(F.expr("transform(sequence(0, size(w) - 3), k -> struct(w[k] AS a, w[k + 1] AS b, w[k + 2] AS c))")).alias("t"))
-    seen = near.groupBy("t").agg(F.max(F.col("label")).alias("one"), F.max(1 - F.col("label")).alias("zero"))
-    counts = saved(seen.groupBy(F.col("t.b").alias("word")).agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")), "contexts")
-    all_one, all_zero = counts.agg(F.sum("one"), F.sum("zero")).first()
-    if not all_one or not all_zero:
-        return []
-    begins = counts.where(F.char_length("word") >= LETTERS).select("one", "zero", F.explode(F.expr(
-        f"array_distinct(transform(sequence({LETTERS}, {LONGEST}), k -> substring(word, 1, k)))")).alias("begin"))
-    odd = begins.groupBy("begin").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).where(
-        (F.col("one") >= CONTEXTS) & (F.col("one") / all_one >= TIMES * (F.col("zero") + 0.5) / all_zero))
-    return distinct_beginnings({r.begin: r.one for r in odd.orderBy(F.desc("one"), "begin").limit(STRINGS).collect()})
-
-
-def distinct_beginnings(counts: dict[str, int]) -> list[str]:
-    """Beginnings without those that a shorter one covers, each made as long
-    as nearly all of its uses agree; the most frequent first."""
-    short = [b for b in counts if not any(b[:k] in counts for k in range(1, len(b)))]
-    out = {}
-    for s in short:
-        longest = max((b for b in counts if b.startswith(s) and counts[b] >= AGREE * counts[s]), key=lambda b: (len(b), b))
-        out[longest] = counts[longest]
-    return sorted(out, key=lambda b: (-out[b], b))
-
-
-def trained_content(pieces: list[bytes]) -> bytes:
+def grams(data: bytes) -> np.ndarray:
+    """A number for each GRAM bytes in a row."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    out = np.zeros(max(0, len(x) - GRAM + 1), np.int64)
+    for k in range(GRAM):
+        out = out << 8 | x[k:k + len(out)]
+    return out
+
+
+def framed(text: str) -> bytes:
+    return b" " + text.lower().encode("utf-8", "surrogatepass") + b" "
+
+
+def _gram_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), 200):
+            for label, part in b.iloc[at:at + 200].groupby("label"):
+                found, n = np.unique(np.concatenate([np.unique(grams(framed(t))) for t in part["text"]]), return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pd.DataFrame({"gram": found, "one": n if label else zero, "zero": zero if label else n})
+
+
+def gram_counts(sampled: DataFrame) -> DataFrame:
+    """gram, one, zero: toxic and ordinary documents that hold it."""
+    seen = sampled.select("label", "text").mapInPandas(_gram_counts, "gram long, one long, zero long")
+    return seen.groupBy("gram").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+
+
+def stretches(text: str, wanted: np.ndarray) -> bytes:
+    """The distinct stretches of a text that consist of wanted grams (sorted)."""
+    data = framed(text)
+    found = grams(data)
+    if not len(found) or not len(wanted):
+        return b""
+    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+    inside = np.zeros(len(data) + 2, np.int8)
+    for k in range(GRAM):
+        inside[1 + k:1 + k + len(found)] |= wanted[at] == found
+    ends = np.flatnonzero(np.diff(inside))
+    return b"\n".join(dict.fromkeys(data[x:y] for x, y in zip(ends[::2], ends[1::2])))
+
+
+def shuffled(samples: Iterable[bytes]) -> list[bytes]:
+    """Samples in an order of their own: the trainer picks from one stretch of them after the other."""
+    return sorted(filter(None, samples), key=lambda x: (hashlib.blake2b(x).digest(), x))
+
+
+def trained_content(samples: list[bytes], size: int, **how) -> bytes:
+    """The content of a dictionary that zstandard trains, without its header."""
     try:
-        return zstandard.train_dictionary(TRAINED_BYTES, pieces).as_bytes()
+        whole = zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
-        return b" ".join(pieces)[-TRAINED_BYTES:]
+        return b"\n".join(samples)[-size:]
+    return whole.partition(OFFSETS)[2] or whole
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     """A model from the labels given; callers leave held-out rows out of them."""
-    texts = labelled.documents(docs)
-    chosen = F.broadcast(labelled.sample(labels, column, *SAMPLE, salt=8))  # bounded by SAMPLE
-    sampled = saved(texts.join(chosen, "doc_id").select("doc_id", "label", "weight", "half", "text"), "toxicity-sample")
+    sampled = saved(labelled.sample(docs, labels, column, *SAMPLE, salt=8), "toxicity-sample")
     first = sampled.where("half = 0")
     at = F.expr(f"transform(sequence(0, {PIECES - 1}), k -> substring(lower(text), 1 + cast(k * char_length(text) / {PIECES} AS int), {PIECE_CHARS}))")
-    pieces = {0: [], 1: []}
-    for r in first.select("label", at.alias("p")).toLocalIterator():
-        pieces[r.label] += [p.encode() for p in r.p if p]
-    strings = toxic_strings(first)
-    model = Model(trained_content(pieces[0]), trained_content(pieces[1]), b"".join(b" " + w.encode() for w in reversed(strings)))
+    pieces = shuffled(p.encode() for r in first.where("label = 0").select(at.alias("p")).toLocalIterator() for p in r.p)
+    sizes = {r.label: r["count"] for r in first.groupBy("label").count().collect()}
+    expected = F.col("zero") * (sizes.get(1, 0) / max(1, sizes.get(0, 0))) + 1
+    # wanted grams each occur in more than two of the sampled toxic documents
+    odd = gram_counts(first).where(F.col("one") > CONTRASTS[0][0] * expected).select("gram", (F.col("one") / expected).alias("times")).collect()
+    left: list[list[bytes]] = [[] for _ in CONTRASTS]
+    wanted = [np.array(sorted(r.gram for r in odd if r.times > least), np.int64) for least, _ in CONTRASTS]
+    for r in first.where("label = 1").select("text").toLocalIterator():
+        for k, some in enumerate(wanted):
+            left[k].append(stretches(r.text, some))
+    toxic = [trained_content(shuffled(some), size, **SEGMENT) for some, (_, size) in zip(left, CONTRASTS)]
+    model = Model(trained_content(pieces, TRAINED_BYTES), toxic)
     rows = model.measure(sampled.where("half = 1").select("label", "weight", "text")).collect()
-    x = np.array([r.x for r in rows] or [features("", *[compressor(b"")] * 3)])
+    rows.sort(key=lambda r: (r.label, r.x))
+    x = np.array([r.x for r in rows] or [features("", *[compressor(b"")] * (1 + len(CONTRASTS)))])
     model.calibrate(x, np.array([r.label for r in rows] or [0]), np.array([r.weight for r in rows] or [1.0]))
     return model
 
