@@ -42,6 +42,10 @@ def test_byte_bpe(spark):
     want = sorted((d is None, d or 0, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in got) == want
     assert all(len(r.ids) == 4 * r.n_tokens for r in got)
+    both = byte_bpe.round_trip(table(spark, rows), path, P.PATTERN).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in both) == want
+    assert byte_bpe.round_trip(table(spark, []), path, P.PATTERN).count() == 0
+    assert token_counts.token_counts(table(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_segment_trees_agree_with_plain_merging():

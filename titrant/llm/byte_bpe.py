@@ -8,14 +8,17 @@ left neighbour) and their paths to the root.  Short matches of equal tree
 size are merged side by side in numpy; long ones one by one.
 
 Defined results: a null text is encoded like an empty one, to no ids.  Rows
-come back in their order, repeated or not.  Special tokens are not known.
+come back in their order, repeated or not.  Very long texts are split block by block, very long
+matches merged whole.  Special tokens are not known.  `encode` and `round_trip` ignore
+columns other than doc_id and text; `decode` keeps them, but one named `decoded`.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 #: Matches up to so many bytes are merged side by side.
 SHORT = 64
-#: Characters of text split at once, and matches remembered by a worker: bounds of memory, without effect on results.
-BLOCK_CHARS, REMEMBERED = 1 << 19, 250_000
+#: Characters of text split at once, and bytes of matches and ids remembered by a worker, with
+#: ENTRY bytes each for their objects: bounds of memory, without effect on results.
+BLOCK_CHARS, REMEMBERED, ENTRY = 1 << 17, 20_000_000, 200
 _NONE = np.uint64((1 << 64) - 1)
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -42,11 +46,20 @@ class ByteBPE:
         self._keys, self._values = found[order, 0].copy(), found[order, 1].copy()
         self._bytes = np.array([ranks[bytes([b])] for b in range(256)], np.uint64)
         self._known: dict[str, bytes] = {}
+        self._held = 0
+        self._one_by_one = array("Q", self._keys.tobytes()), array("Q", self._values.tobytes())
+        self.tokens = [b""] * (1 + max(ranks.values(), default=0))
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
 
-    @cached_property
-    def pairs(self) -> dict[int, int]:
-        """Ranks by left id << 32 | right id, for matches merged one by one."""
-        return dict(zip(self._keys.tolist(), self._values.tolist()))
+    def pair_rank(self, left: int, right: int) -> int | None:
+        """The rank of one pair, for matches merged one by one."""
+        keys, values = self._one_by_one
+        at = bisect_left(keys, left << 32 | right)
+        return values[at] if at < len(keys) and keys[at] == left << 32 | right else None
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << np.uint64(32) | right
@@ -113,10 +126,10 @@ class ByteBPE:
         size = 1 << max(1, (n - 1).bit_length())
         ids = [int(self._bytes[b]) for b in data]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        none, pairs = 1 << 64, self.pairs
+        none, rank_of = 1 << 64, self.pair_rank
         tree = [none] * (2 * size)
         for k in range(n - 1):
-            if (rank := pairs.get(ids[k] << 32 | ids[k + 1])) is not None:
+            if (rank := rank_of(ids[k], ids[k + 1])) is not None:
                 tree[size + k] = rank << 32 | k
         for k in range(size - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
@@ -132,7 +145,7 @@ class ByteBPE:
                 tree[node] = value
 
         def pair(left, right):
-            rank = pairs.get(ids[left] << 32 | ids[right])
+            rank = rank_of(ids[left], ids[right])
             return none if rank is None else rank << 32 | left
 
         live = bytearray(b"\1") * n
@@ -191,9 +204,12 @@ class ByteBPE:
                 yield b"".join(map(self._known.__getitem__, pieces))
 
     def _remember(self, *blocks: list[str]) -> None:
-        if len(self._known) > REMEMBERED:
+        if self._held > REMEMBERED:
             self._known.clear()
-        self._learn(set().union(*blocks).difference(self._known))
+            self._held = 0
+        new = set().union(*blocks).difference(self._known)
+        self._learn(new)
+        self._held += sum(ENTRY + len(p) + len(self._known[p]) for p in new)
 
 
 def _spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -224,16 +240,29 @@ def load(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each row."""
+def _pass_over(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 300):
-                some = b.slice(at, 300)
+            for at in range(0, b.num_rows, 100):
+                some = b.slice(at, 100)
                 ids = list(bpe.encode(some.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+                out = {"doc_id": some.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    out["decoded"] = pa.array(map(bpe.decode, ids), pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+    schema = "doc_id long, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each row."""
+    return _pass_over(docs, path, pattern, False)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`encode` with `decoded`, the bytes of `ids`, in one Python worker a task."""
+    return _pass_over(docs, path, pattern, True)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -241,11 +270,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: data for data, rank in read_ranks(path).items()}.__getitem__
+        bpe = ByteBPE(read_ranks(path), ".+")
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                some = b.slice(k, 200)
-                out = pa.array([b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in some.column(at)], pa.binary())
+            for k in range(0, b.num_rows, 100):
+                some = b.slice(k, 100)
+                out = pa.array([bpe.decode(x.as_py() or b"") for x in some.column(at)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns, out], [*some.schema.names, "decoded"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")

@@ -8,17 +8,18 @@ Each row carries its offset within its part; the parts' totals give the rest.
 White space always ends a word of this kind of tokenizer (its splitting
 pattern drops it), so each distinct blank-separated chunk is encoded by the
 library and remembered by the worker.  Commas and points behind letters and
-digits, which the pattern splits off, are chunks of their own.
+digits, which the pattern splits off, are chunks of their own.  Chunks of letters
+alone are one word each and go to the library by the line, without the pattern.
 
 Defined results: a null text is an empty one; each document ends with
 the end id; null doc_ids come first; rows that repeat a doc_id each have a
-place, in the order of a hash of their texts.
+place, in the order of a hash of their texts.  Very long texts are cut behind white
+space.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -31,9 +32,13 @@ from pyspark.sql import functions as F
 
 #: Chunks remembered by a worker process, in each of two generations (what is met again moves
 #: to the newer one): a bound of memory, without effect on results.
-REMEMBERED = 400_000
-#: A comma or point behind another sign.
-SIGNS = re.compile(r"[^\w \n\t\r][.,]|_[.,]")
+REMEMBERED = 350_000
+#: Latin-1 bytes by kind: comma or point, other sign, and what may stand before a comma or point that is set off.
+KINDS = bytes(1 if b in b".," else 0 if chr(b).isalnum() or b in b" \n\t\r" else 2 for b in range(256))
+#: The pattern of tokenizers for which a chunk of letters is one word (a fixed value of theirs).
+LETTER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of letters given to the library at once.
+WORDS_AT_ONCE = 1_000
 _loaded: dict[str, ChunkEncoder] = {}
 
 
@@ -48,42 +53,68 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        steps = json.loads(self.library.to_str())["normalizer"] or {}
-        if {x["type"] for x in steps.get("normalizers", [steps])} <= {"NFC", "Replace", "Lowercase"}:
-            self.plain.normalizer = None  # changes nothing in plain lower-case chunks
+        self.library = Tokenizer.from_file(path)
+        self.words, self.ends = self._word_encoder()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def _word_encoder(self):
+        """The library without its splitting pattern, for lines of lower-case words of letters, and which
+        ids end a word; None where the pattern is another."""
+        whole = json.loads(self.library.to_str())
+        norms = whole["normalizer"] or {}
+        steps = (whole["pre_tokenizer"] or {}).get("pretokenizers", [])
+        suffix = whole["model"].get("end_of_word_suffix")
+        changes = {x["type"] for x in norms.get("normalizers", [norms] if norms else [])}  # these change nothing in lower-case Latin-1 words
+        if not suffix or not changes <= {"NFC", "Replace", "Lowercase"} or [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": LETTER_WORDS}:
+            return None, None
+        from tokenizers import pre_tokenizers
+
+        words = type(self.library).from_str(self.library.to_str())
+        words.normalizer = None
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(max(words.get_vocab().values()) + 1, bool)
+        ends[[i for token, i in words.get_vocab().items() if token.endswith(suffix)]] = True
+        return words, ends
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as machine unsigned 32-bit integers."""
         split = [(k, *self._chunks(block)) for k, text in enumerate(texts) for block in _blocks(text)]
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
-        for library, plain in ((self.plain, True), (self.library, False)):
-            self._learn(library, set().union(*(c for _, c, simple in split if simple == plain)))
+        self._learn(set().union(*(c for _, c, simple in split if simple)), self.words is not None)
+        self._learn(set().union(*(c for _, c, simple in split if not simple)), False)
         out, known = [b""] * len(texts), self.known.__getitem__
         for k, chunks, _ in split:
             out[k] += b"".join(map(known, chunks))
         return out
 
-    def _learn(self, library, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str], plain: bool) -> None:
         new = chunks.difference(self.known)
         old = new.intersection(self.before)
         self.known.update((c, self.before[c]) for c in old)
-        todo = list(new - old)
-        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(todo, library.encode_batch_fast(todo, add_special_tokens=False)))
+        todo = new - old
+        if plain:
+            letters = [c for c in todo if c.isalpha()]
+            todo.difference_update(letters)
+            for k in range(0, len(letters), WORDS_AT_ONCE):
+                some = letters[k:k + WORDS_AT_ONCE]
+                ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                flat, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                self.known.update(zip(some, [flat[x:y] for x, y in zip([0, *stops], stops)]))
+        todo = list(todo)
+        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)))
 
     @staticmethod
     def _chunks(block: str) -> tuple[list[str], bool]:
         simple = "<|" not in block
         try:
-            block.encode("latin-1")
+            kinds = block.encode("latin-1").translate(KINDS)
         except UnicodeEncodeError:
             simple = False
         if simple:
             block = block.lower()
-            if not SIGNS.search(block):
+            if b"\2\1" not in kinds and b"\1\1" not in kinds:
                 block = block.replace(",", " ,").replace(".", " .")
         return block.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), simple
 
@@ -123,8 +154,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(offset + ends - n), pa.array(n), ids], ["doc_id", "part", "part_offset", "n_tokens", "ids"])
                 offset += int(ends[-1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the last key deals equal rows, however many, over several parts
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("spread", F.monotonically_increasing_id())
+    order = ["doc_id", "h", "spread"]
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
      .mapInArrow(run, "doc_id long, part int, part_offset long, n_tokens long, ids array<int>")
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("compression", "zstd").orc(out))
