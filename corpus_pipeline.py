@@ -38,7 +38,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and the digest of the text decoded from them."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return byte_bpe.round_trip(docs, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("ngram_jaccard_join", drop_near_copies), ("decontamination", drop_leaks), ("byte_bpe", encode)]
