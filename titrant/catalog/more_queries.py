@@ -248,8 +248,8 @@ def requests(s):
     return s.table("events").select(F.col("user_id").alias("job_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
 
-def _fold_sql(span: int) -> str:
-    return f"""WITH u AS (SELECT user_id AS job_id, list({{'t': {_T}, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}} ORDER BY ts, event_id) AS l, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1),
+def _fold_sql(span: int, job: str = "user_id", t: str = _T) -> str:
+    return f"""WITH u AS (SELECT {job} AS job_id, list({{'t': {t}, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}} ORDER BY {t}, event_id) AS l, list(event_id ORDER BY {t}, event_id) AS ids FROM events GROUP BY 1),
   f AS (SELECT job_id, ids, list_reduce(l, lambda a, x: {{'t': x.t, 'taken': CASE WHEN len(list_filter(a.taken, lambda y: y >= x.t - {span})) < {LIMIT} THEN list_append(list_filter(a.taken, lambda y: y >= x.t - {span}), x.t) ELSE list_filter(a.taken, lambda y: y >= x.t - {span}) END,
     'ok': list_append(a.ok, len(list_filter(a.taken, lambda y: y >= x.t - {span})) < {LIMIT})}}, {{'t': 0.0::DOUBLE, 'taken': []::DOUBLE[], 'ok': []::BOOLEAN[]}}).ok AS ok FROM u)
   SELECT job_id, unnest(ids) AS event_id, unnest(ok) AS accepted FROM f"""
@@ -263,9 +263,11 @@ def request_limit(s):
     return limits.limit_requests(requests(s), LIMIT, SPAN).select("job_id", "event_id", "accepted")
 
 
-@query("request_limit_sliced", _fold_sql(6 * 24 * 3600), False)
+@query("request_limit_sliced", _fold_sql(2 * 3600, "nullif(user_id % 3, 0)", f"floor({_T} / 3600) * 3600"), False)
 def request_limit_sliced(s):
-    return limits.limit_requests(requests(s), LIMIT, 6 * 24 * 3600).select("job_id", "event_id", "accepted")
+    """Hot keys, one of them missing, with many requests at one time."""
+    hot = requests(s).withColumns({"job_id": F.nullif(F.col("job_id") % 3, F.lit(0)), "t": F.floor(F.col("t") / 3600) * 3600.0})
+    return limits.limit_requests(hot, LIMIT, 2 * 3600).select("job_id", "event_id", "accepted")
 
 
 @query("recent_requests", f"SELECT user_id AS job_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {24 * 3600} SECOND PRECEDING AND CURRENT ROW) AS recent FROM events", False)

@@ -37,49 +37,98 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384  # vectors packed into one row
+#: Vectors of a query block, and of the corpus rows that one product meets: bounds of memory, without effect on results.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384
+SCORE_DIGITS = 9
 
 
-def _pack(size: int):
-    """Batch function: ids and float64 vectors of `size` rows packed into one."""
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at:at + size]
-                m = np.stack(part.iloc[:, 1].to_numpy()).astype("float64")
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
-                yield pd.DataFrame({"ids": [part.iloc[:, 0].to_numpy()], "unit": [m.tobytes()]})
-    return run
+def with_direction(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector has a direction: not null, of finite entries, not all zero."""
+    v = F.col(vector)
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return rows.filter(F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False)))
+
+
+def _units(vectors) -> np.ndarray:
+    m = np.array(list(vectors), np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
 
+def _asked(queries: DataFrame) -> dict[int, list]:
+    """Stated queries as blocks of (ids, unit vectors) by length of vector.  They
+    travel in the closure of the tasks: a set that is asked, not a table."""
+    blocks: dict[int, tuple[list, list]] = {}
+    for r in queries.toLocalIterator():
+        ids, vectors = blocks.setdefault(len(r["vector"]), ([], []))
+        ids.append(r["query_id"])
+        vectors.append(r["vector"])
+    return {d: [(ids[k:k + QUERY_BLOCK], _units(vectors[k:k + QUERY_BLOCK])) for k in range(0, len(ids), QUERY_BLOCK)] for d, (ids, vectors) in blocks.items()}
 
-def _best(k: int):
-    """Batch function: the k best corpus rows of each query in a pair of blocks."""
+
+def _nearest_rows(asked, k: int):
+    """Batch function: the k best rows of each query among the rows of a task.
+
+    Rows are met in cells, each around one of its rows.  A query's angle to that row less the
+    widest angle of the cell bounds the angle to every row of the cell, so a
+    cell that cannot better a query's k-th row so far is passed over for it."""
     def run(batches):
+        best = {d: [(np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), object)) for ids, _ in blocks] for d, blocks in asked.items()}
         for pdf in batches:
-            for query_ids, query_unit, ids, unit in zip(pdf["q_ids"], pdf["q_unit"], pdf["ids"], pdf["unit"]):
-                rows = np.asarray(ids)
-                s = np.round(np.frombuffer(query_unit).reshape(len(query_ids), -1) @ np.frombuffer(unit).reshape(len(rows), -1).T, 9)
-                found = []
-                for q, line in zip(query_ids, s):
-                    cut = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-                    at = np.flatnonzero(line >= cut)
-                    found.append((np.full(min(k, len(at)), q), *(x[np.lexsort((rows[at], -line[at]))][:k] for x in (rows[at], line[at]))))
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+            for d, part in pdf.groupby(pdf["vector"].map(len)):
+                for at in range(0, len(part) if d in asked else 0, CORPUS_BLOCK):
+                    some = part.iloc[at:at + CORPUS_BLOCK]
+                    ids, unit = some["vec_id"].to_numpy(object), _units(some["vector"])
+                    for rows, widest, centre in _cells(unit):
+                        for (_, q), (scores, found) in zip(asked[d], best[d]):
+                            angle = np.arccos(np.clip(q @ centre, -1, 1)) - widest
+                            # a margin for rounding, so that no row that ties is passed over
+                            near = np.flatnonzero(np.cos(np.maximum(angle, 0)) + 1e-8 >= scores[:, -1])
+                            if len(near):
+                                _merge(scores, found, near, np.round(q[near] @ unit[rows].T, SCORE_DIGITS), ids[rows], k)
+        for d, blocks in asked.items():
+            for (query_ids, _), (scores, found) in zip(blocks, best[d]):
+                i, j = np.nonzero(scores > -np.inf)
+                yield pd.DataFrame({"query_id": np.array(query_ids, object)[i], "vec_id": found[i, j], "score": scores[i, j]})
     return run
 
 
+def _cells(unit: np.ndarray, cells: int = 64):
+    """The rows of a block by their nearest of some spread rows: (rows, widest angle, centre)."""
+    centres = unit[:: max(1, len(unit) // cells)][:cells]
+    cosine = unit @ centres.T
+    own = cosine.argmax(axis=1)
+    for c in np.unique(own):
+        rows = np.flatnonzero(own == c)
+        yield rows, np.arccos(np.clip(cosine[rows, c].min(), -1, 1)), centres[c]
+
+
+def _merge(scores, found, near, new, ids, k):
+    """The k best of what a query holds and new rows, ties by id."""
+    for i, line in zip(near, new):
+        at = np.flatnonzero(line >= scores[i, -1])
+        if not len(at):
+            continue
+        s, v = np.concatenate([scores[i], line[at]]), np.concatenate([found[i], ids[at]])
+        if len(s) > 4 * k:
+            keep = s >= np.partition(s, -k)[-k]
+            s, v = s[keep], v[keep]
+        order = sorted(range(len(s)), key=lambda x: (-s[x], v[x]))[:k]
+        scores[i], found[i] = s[order], v[order]
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k most similar corpus vectors (vec_id, vector) per query (query_id,
     vector) by cosine, ties by id.
 
-    Both sides are packed into blocks; every query block meets every corpus block as one
-    matrix product, and only the k best rows per query leave a pair of blocks.
+    The corpus is read once, where it lies: each task keeps the k best rows of
+    each query and passes only those on.  Vectors that are null, zero or not finite, and
+    queries of another length, have no nearest rows; rows without an id are left out.
     """
-    id_type, vec_type = queries.schema["query_id"].dataType.simpleString(), corpus.schema["vec_id"].dataType.simpleString()
-    asked = queries.select("query_id", "vector").mapInPandas(_pack(QUERY_BLOCK), f"ids array<{id_type}>, unit binary")
-    rows = corpus.select("vec_id", "vector").mapInPandas(_pack(CORPUS_BLOCK), f"ids array<{vec_type}>, unit binary")
-    pairs = rows.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit")))
-    best = pairs.mapInPandas(_best(k), f"query_id {id_type}, vec_id {vec_type}, score double")
+    asked = _asked(with_direction(queries.select("query_id", "vector"), "vector"))
+    rows = with_direction(corpus.select("vec_id", "vector"), "vector").filter("vec_id is not null")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {corpus.schema['vec_id'].dataType.simpleString()}, score double"
+    best = rows.mapInPandas(_nearest_rows(asked, k), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -22,12 +23,13 @@ _OUT = "job_id long, event_id long, t double, accepted boolean"
 
 def _fold(max_requests: int, window: float):
     """Sequential acceptance over rows sorted by key and time.  What is held
-    is the accepted times of one key inside the window, `max_requests` at most."""
+    is the accepted times of one key inside the window, `max_requests` at most.
+    Keys are compared as they are, a missing one like any other."""
     def run(batches):
-        key, taken = None, deque()
-        for pdf in batches:
+        key, taken = object(), deque()
+        for b in batches:
             verdicts = []
-            for job, t in zip(pdf["job_id"].tolist(), pdf["t"].tolist()):
+            for job, t in zip(b.column("job_id").to_pylist(), b.column("t").to_pylist()):
                 if job != key:
                     key = job
                     taken.clear()
@@ -36,7 +38,7 @@ def _fold(max_requests: int, window: float):
                 verdicts.append(len(taken) < max_requests)
                 if verdicts[-1]:
                     taken.append(t)
-            yield pdf.assign(accepted=verdicts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdicts, pa.bool_())], [*b.schema.names, "accepted"])
     return run
 
 
@@ -44,12 +46,20 @@ def limit_requests(events: DataFrame, max_requests: int = 30, window: int = DAY)
     """Accept a request while fewer than `max_requests` of its key were accepted
     in the trailing window (inclusive edge); rejected ones do not count.
 
-    `events`: job_id, event_id, t (seconds).  A verdict depends on all earlier
-    ones of its key, so a key is read in order by one task, as a stream.
+    `events`: job_id, event_id, t (seconds).  Requests without a key share one;
+    requests without a time are rejected.  A verdict depends on all earlier
+    ones of its key, so a key is read in order by one task, as a stream.  Of one key and
+    time only the first `max_requests` can be accepted: the others are sure rejections
+    and never reach that task, which is bounded by the key's distinct times.
     """
     e = events.select("job_id", "event_id", F.col("t").cast("double").alias("t"))
-    ordered = e.repartition("job_id").sortWithinPartitions("job_id", "t", "event_id")
-    return ordered.mapInPandas(_fold(max_requests, window), _OUT)
+    at_once = Window.partitionBy("job_id", "t").orderBy("event_id")
+    numbered = e.withColumn("_n", F.row_number().over(at_once))
+    open_ = (F.col("_n") <= max_requests) & F.col("t").isNotNull()
+    ordered = numbered.filter(open_).drop("_n").repartition("job_id").sortWithinPartitions("job_id", "t", "event_id")
+    types = {f.name: f.dataType.simpleString() for f in e.schema.fields}
+    verdicts = ordered.mapInArrow(_fold(max_requests, window), f"job_id {types['job_id']}, event_id {types['event_id']}, t double, accepted boolean")
+    return verdicts.unionByName(numbered.filter(~open_).drop("_n").withColumn("accepted", F.lit(False)))
 
 
 def recent_requests(events: DataFrame, window: int = DAY) -> DataFrame:
