@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from titrant.catalog import chain as ch
 from titrant.catalog.registry import query
 from titrant.operators import evaluate as ev, names as nm, retrieve as rt
+from titrant.plans import checks
 from titrant.session import ensure_checkpoint_dir, saved
 from titrant.sources import io
 from titrant.streaming import limits, rows as sr
@@ -221,6 +222,40 @@ def truth_documents(s):
     return got.select(F.col("archetype").cast("long").alias("archetype"), F.size("expected_values").alias("n_values"))
 
 
+# The truth rows as documents, written and read again, their altered copies as
+# outputs; every 50th output is no JSON, every 41st is not there.
+ch.cte("docsok", "SELECT DISTINCT report_id AS doc_id FROM kept WHERE report_id % 50 <> 7 AND report_id % 41 <> 5")
+
+
+@query("evaluate_documents", """SELECT 'score' AS kind, e.doc_id::VARCHAR AS doc_id, e.n AS n, coalesce(x.n, 0) AS extracted, coalesce(m.matched, 0) AS matched, coalesce(m.val, 0) AS value_matches FROM (SELECT doc_id, count(*) AS n FROM expd GROUP BY 1) e
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM extd SEMI JOIN docsok USING (doc_id) GROUP BY 1) x USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS matched, count(*) FILTER (WHERE value_match) AS val FROM fmatch SEMI JOIN docsok USING (doc_id) GROUP BY 1) m USING (doc_id)
+  UNION ALL SELECT 'broken', NULL, count(DISTINCT report_id), 0, 0, 0 FROM kept WHERE report_id % 50 = 7 AND report_id % 41 <> 5
+  UNION ALL SELECT 'unpaired', report_id::VARCHAR, 1, 0, 0, 0 FROM (SELECT DISTINCT report_id FROM kept WHERE report_id % 50 = 7 OR report_id % 41 = 5)""")
+def evaluate_documents(s):
+    e, x = truth_pair(s)
+    base = f"{ensure_checkpoint_dir(s.spark)}/documents-{uuid.uuid4().hex}"
+
+    def write(rows, column, path):
+        value = F.coalesce("value_text", F.format_string("%.17g", "value_num"))
+        row = F.struct("pos", "test_name", value.alias("value"), "unit", F.col("ref_low").alias("reference_range_low"), F.col("ref_high").alias("reference_range_high"), "flag", "section_type")
+        d = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(row)).alias(column))
+        text = F.to_json(F.struct("doc_id", *([F.lit("lab").alias("archetype")] if column == "expected_values" else []), column))
+        if column == "values":
+            d = d.filter("doc_id % 41 <> 5")
+            text = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("{broken "), "doc_id")).otherwise(text)
+        d.select(text.alias("value")).write.text(f"{base}/{path}")
+    write(e, "expected_values", "truth")
+    write(x, "values", "output")
+    got = checks.evaluate_folders(s.spark, f"{base}/truth", f"{base}/output", one_per_file=False)
+    values = got.matches.groupBy("doc_id").agg(F.count_if("value_match").alias("value_matches"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("extracted", "matched", "value_matches")]
+    scores = got.scores.join(values, "doc_id", "left").select(
+        F.lit("score").alias("kind"), "doc_id", F.col("total_expected").alias("n"), F.col("total_extracted").alias("extracted"), "matched", F.coalesce("value_matches", F.lit(0)).alias("value_matches"))
+    broken = got.broken.filter("side = 'output'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("broken").alias("kind"), F.lit(None).cast("string").alias("doc_id"), "n", *zero)
+    lone = got.unpaired.select(F.lit("unpaired").alias("kind"), "doc_id", F.lit(1).cast("long").alias("n"), *zero)
+    return scores.unionByName(broken).unionByName(lone)
+
+
 @query("node_upsert", "SELECT p_partkey AS node, CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE p_name END AS name FROM part", False)
 def node_upsert(s):
     old = s.table("part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))

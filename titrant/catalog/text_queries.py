@@ -9,6 +9,7 @@ from titrant.catalog.registry import query
 from titrant.fixed import lexicons as lx, safety as fs
 from titrant.functions import text as tx
 from titrant.operators import explain, grounding as gr, rollup, screening as sc, sections
+from titrant.plans import checks
 from titrant.sources import dims, parse
 
 # Words of the driver corpus that stand in for the real keywords.
@@ -330,6 +331,24 @@ def answer_validation(s):
     return gr.validate_answers(answers(s), compact(s)).select("report_id", "refusal_reason", "refused", "doctor_routing", "answer")
 
 
+# What the model wrote for each report: a bare object, a fenced one, one inside
+# prose, or no object at all; then the whole way to the final answer.
+ch.cte("plainans", f"""SELECT a.report_id, CASE a.language WHEN 'en' THEN CASE WHEN len(s.names) > 0 THEN s.headline || ' Items to discuss: ' || array_to_string(s.names[1:3], ', ') || '.' ELSE s.headline END ELSE {ch._sql(lx.OUT_OF_SCOPE['fr'])} END AS answer,
+  least(len(s.names), 3) AS n_citations FROM ans a JOIN rsum s USING (report_id) WHERE a.broken""")
+
+
+@query("ground_check", f"""SELECT c.report_id, coalesce(p.answer, CASE WHEN reason IS NOT NULL THEN {_refusal('c.language', 'reason')} WHEN routed THEN c.answer || ' ' || {_DOC.replace('language', 'c.language')} ELSE c.answer END) AS answer,
+  CASE WHEN p.report_id IS NULL THEN reason END AS refusal_reason, p.report_id IS NULL AND reason IS NOT NULL AS refused, CASE WHEN p.report_id IS NULL AND reason IS NOT NULL THEN false ELSE routed END AS doctor_routing,
+  coalesce(p.n_citations, CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS n_citations FROM checked c LEFT JOIN plainans p USING (report_id)""")
+def ground_check(s):
+    k, body = F.col("report_id"), F.to_json("parsed")
+    raw = (F.when(F.col("parsed").isNull(), F.when(k % 2 == 0, F.lit("I cannot answer {that")))
+           .when(k % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit("Sure: "), body, F.lit(" hope it helps"))).otherwise(body))
+    asked = answers(s).withColumn("raw", raw).select("report_id", "answer_id", F.concat(F.lit("  how is it, write to a"), k.cast("string"), F.lit("@b.org ")).alias("text"), "language", "raw")
+    out = checks.ground_check(asked, compact(s), rollup.report_summary(s.canonical).select("report_id", "headline", "top_findings"))
+    return out.select("report_id", "answer", "refusal_reason", "refused", "doctor_routing", F.size("citations").alias("n_citations"))
+
+
 @query("answer_shapes", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'Sorry, I couldn''t generate an answer.' ELSE event_type END AS answer, least(event_id % 9, 5) AS n_follow_ups, least(length(repeat(event_type, 60)), 200) AS cite_length FROM events", False)
 def answer_shapes(s):
     e = F.col("event_id")

@@ -95,11 +95,24 @@ def read_truth(spark: SparkSession, path: str, schema: str, one_per_file: bool =
     return spark.read.schema(schema).json(path, multiLine=one_per_file).withColumn("source_file", F.input_file_name())
 
 
+def read_documents(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """JSON documents with doc_id, source_file and broken, the text of a document that
+    could not be read (null for the others).  doc_id is the file's name without its ending,
+    or of documents in lines their field `doc_id`."""
+    fields = schema if one_per_file else f"doc_id string, {schema}"
+    read = spark.read.schema(f"{fields}, broken string").option("columnNameOfCorruptRecord", "broken").json(path, multiLine=one_per_file)
+    file = F.input_file_name()
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+    return read.withColumn("source_file", file).withColumn("doc_id", name if one_per_file else F.col("doc_id"))
+
+
 TRUTH_ROW = ("struct<test_name:string,value:string,unit:string,reference_range_low:double,reference_range_high:double,"
              "flag:string,section_type:string>")
 EXTRACTION_TRUTH = (f"archetype string, expected_values array<{TRUTH_ROW}>, "
                     "expected_screening array<struct<test_type:string,result_status:string>>, "
                     "expected_hplc array<struct<diabetes_category:string>>")
+EXTRACTION_OUTPUT = (f"values array<{TRUTH_ROW}>, screening_results array<struct<test_type:string,result_status:string>>, "
+                     "audit struct<hplc_blocks:array<struct<diabetes_category:string>>>")
 INTERPRETATION_TRUTH = ("report_id string, variant_type string, values array<struct<test_name:string,loinc_code:string,value:string,"
                         "unit:string,reference_range_low:double,reference_range_high:double,expected_direction:string,"
                         "expected_severity:string,expected_actionability:string,expected_confidence:string,"
