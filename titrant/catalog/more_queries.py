@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from titrant.catalog import chain as ch
 from titrant.catalog.registry import query
-from titrant.operators import evaluate as ev, names as nm, retrieve as rt
+from titrant.operators import evaluate as ev, hplc, names as nm, retrieve as rt
 from titrant.plans import checks
 from titrant.session import ensure_checkpoint_dir, saved
 from titrant.sources import io
@@ -342,11 +342,13 @@ def _stream(s, df: DataFrame, label: str) -> DataFrame:
     return s.spark.readStream.schema(df.schema).parquet(path.inputFiles()[0].rsplit("/", 1)[0])
 
 
-@query("interpretation_stream", "SELECT report_id, page_num, row_idx, direction, severity, confidence, range_source, verification_verdict FROM itp WHERE section_type <> 'hplc_diabetes_block'")
+@query("interpretation_stream", "SELECT report_id, page_num, row_idx, direction, severity, confidence, range_source, verification_verdict FROM itp")
 def interpretation_stream(s):
-    rows = s.rows.filter("section_type <> 'hplc_diabetes_block'")
+    """All cleaned rows as one stream, the categories of their blocks as another."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("report_id") % 3600)
     names = nm.name_dimension(s.rows, s.know.aliases, s.know.categories, s.know.qualitative)
-    out = sr.interpret_stream(_stream(s, rows, "in"), names, s.know.analytes)
+    found = hplc.category_by_name(s.blocks).withColumn("ts", at + F.expr("INTERVAL 20 MINUTES"))
+    out = sr.interpret_stream(_stream(s, s.rows.withColumn("ts", at), "in"), names, s.know.analytes, _stream(s, found, "in"))
     return _drain(out.select("report_id", "page_num", "row_idx", "direction", "severity", "confidence", "range_source", "verification_verdict"))
 
 
