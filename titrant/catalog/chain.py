@@ -11,6 +11,7 @@ import re
 
 from titrant.catalog.labview import _sql, lab_sql
 from titrant.fixed import analytes as fa, families as ff, lexicons as lx, units as fu
+from titrant.fixed import names as fn
 from titrant.fixed.numeric_rules import NUMERIC_RULES
 from titrant.fixed.qualitative import QUALITATIVE_RULES, SEMI_QUANT_CANONICAL, VALUE_ALIASES
 
@@ -112,21 +113,21 @@ def dictionary_rows():
     n = 0
     for code, canonical, _ in fa.ANALYTES:
         rows.append((0, n, canonical.lower(), code)); n += 1
-    by_code = dict(fa.CORE_ALIASES)
     for code, _, _ in fa.ANALYTES:
-        for w in by_code.get(code, []):
-            rows.append((1, n, w.lower().strip(), code)); n += 1
+        for words in fn.names_of(code).values():
+            for w in words:
+                rows.append((1, n, w.lower().strip(), code)); n += 1
     return rows
 
 
 def topic_rows():
     """(kind, place, name, topic): the smallest (kind, place) of a key holds."""
-    by_code = dict(fa.CORE_ALIASES)
     rows = [(0, -i, c, t) for i, (_, c, t) in enumerate(fa.ANALYTES)]
     n = 0
     for code, _, t in fa.ANALYTES:
-        for w in by_code.get(code, []):
-            rows.append((1, n, w, t)); n += 1
+        for words in fn.names_of(code).values():
+            for w in words:
+                rows.append((1, n, w, t)); n += 1
     return rows
 
 

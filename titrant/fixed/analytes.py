@@ -93,60 +93,6 @@ ANALYTES = [
     ("58413-6", "NRBC", "blood_count"),
 ]
 
-# Core printed names per LOINC code (fixed values), in dictionary order.  The
-# full multilingual name table is an input: see titrant.sources.dims.read_aliases.
-CORE_ALIASES = [
-    ("6690-2", ["WBC", "White Blood Cells", "Leucocytes", "Bạch cầu"]),
-    ("789-8", ["RBC", "Red Blood Cells", "Hématies", "Hồng cầu"]),
-    ("718-7", ["Hgb", "Hb", "Haemoglobin", "Hémoglobine"]),
-    ("4544-3", ["Hct", "Haematocrit", "Hématocrite"]),
-    ("777-3", ["PLT", "Platelet Count", "Plaquettes", "Tiểu cầu"]),
-    ("787-2", ["Mean Corpuscular Volume", "VGM"]),
-    ("32623-1", ["Mean Platelet Volume"]),
-    ("2345-7", ["Blood Glucose", "Fasting Glucose", "Blood Sugar", "Glu", "Glycémie"]),
-    ("3094-0", ["Blood Urea Nitrogen", "Urea Nitrogen"]),
-    ("2160-0", ["Creat", "Serum Creatinine", "Créatinine"]),
-    ("2951-2", ["Na", "Na+", "Serum Sodium", "Natrémie"]),
-    ("2823-3", ["K", "K+", "Kaliémie"]),
-    ("2028-9", ["Bicarbonate", "HCO3"]),
-    ("17861-6", ["Ca", "Total Calcium", "Calcémie"]),
-    ("6768-6", ["Alkaline Phosphatase", "Phosphatase alcaline"]),
-    ("1742-6", ["Alanine Aminotransferase", "SGPT", "GPT", "ALAT"]),
-    ("1920-8", ["Aspartate Aminotransferase", "SGOT", "GOT", "ASAT"]),
-    ("1975-2", ["Bilirubin Total", "Bilirubine totale"]),
-    ("2093-3", ["Cholesterol", "TC", "Cholestérol total"]),
-    ("2085-9", ["HDL", "HDL-C", "HDL-cholestérol"]),
-    ("13457-7", ["LDL", "LDL-C", "LDL-cholestérol"]),
-    ("2571-8", ["TG", "Triglycérides"]),
-    ("3016-3", ["Thyroid Stimulating Hormone", "Thyréostimuline"]),
-    ("3024-7", ["FT4", "Free Thyroxine", "T4 libre"]),
-    ("3051-0", ["FT3", "T3 libre"]),
-    ("2324-2", ["Gamma-Glutamyl Transferase", "Gamma GT"]),
-    ("33914-3", ["Estimated GFR", "GFR", "DFGe"]),
-    ("3084-1", ["Urate", "Acide urique"]),
-    ("2777-1", ["Phosphorus", "Phosphore"]),
-    ("19123-9", ["Mg", "Magnésium"]),
-    ("4548-4", ["A1C", "Hemoglobin A1c", "Glycated Hemoglobin", "Hémoglobine glyquée"]),
-    ("2498-4", ["Fe", "Serum Iron", "Fer sérique"]),
-    ("2276-4", ["Serum Ferritin", "Ferritine"]),
-    ("1989-3", ["25-OH Vitamin D", "25-Hydroxyvitamin D", "Vit D", "Vitamine D"]),
-    ("1988-5", ["C-Reactive Protein", "Protéine C réactive"]),
-    ("751-8", ["NEU", "Neut", "Neutrophiles"]),
-    ("731-0", ["Lymph", "Lymphocyte Count"]),
-    ("711-2", ["EOS", "Éosinophiles"]),
-    ("704-7", ["Baso", "Basophiles"]),
-    ("2986-8", ["Total Testosterone", "Testostérone"]),
-    ("2132-9", ["B12", "Cobalamin", "Vitamine B12"]),
-    ("22322-2", ["Hepatitis B Surface Antibody", "Anti-HBs"]),
-    ("5195-3", ["Hepatitis B Surface Antigen", "Antigène HBs"]),
-    ("16128-1", ["Hepatitis C Antibody", "Anti-HCV"]),
-    ("20454-5", ["Protein (Urine)"]),
-    ("25428-4", ["Glucose (Urine)"]),
-    ("53553-4", ["eAG", "Average Glucose"]),
-    ("37874-4", ["PCT"]),
-    ("58413-6", ["Nucleated Red Blood Cells"]),
-]
-
 # Specimen words that may follow a name in brackets or after a slash (fixed values).
 SPECIMENS = ["serum", "plasma", "whole blood", "blood", "urine", "huyết thanh",
              "máu", "nước tiểu", "sang", "urina"]

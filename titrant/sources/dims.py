@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from titrant.fixed import analytes as fa, families as ff, qualitative as fq, units as fu, safety as fs
+from titrant.fixed import analytes as fa, families as ff, qualitative as fq, units as fu, safety as fs, names as fn
 from titrant.fixed.numeric_rules import NUMERIC_RULES
 
 # Bands are probed from the most severe to the least.
@@ -49,8 +49,7 @@ def numeric_rules(spark: SparkSession) -> DataFrame:
 
 
 def name_table(spark: SparkSession) -> DataFrame:
-    names = {code: {"core": list(words)} for code, words in fa.CORE_ALIASES}
-    return _table(spark, [dict(ord=n, loinc=code, canonical=canonical, topic=topic, aliases=list(names.get(code, {}).items()))
+    return _table(spark, [dict(ord=n, loinc=code, canonical=canonical, topic=topic, aliases=list(fn.names_of(code).items()))
                           for n, (code, canonical, topic) in enumerate(fa.ANALYTES)], ALIAS_SCHEMA)
 
 
