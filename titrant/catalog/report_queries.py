@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from titrant.catalog import chain as ch
 from titrant.catalog.registry import columns, query
+from titrant.catalog.text_queries import screening_table
 from titrant.fixed import analytes as fa, lexicons as lx
 from titrant.functions import text as tx
 from titrant.functions.ranks import STATUS, label
-from titrant.operators import explain, interpret as it, rollup, sections, verify
-from titrant.plans import reports
-from titrant.session import ensure_checkpoint_dir
+from titrant.operators import explain, interpret as it, rollup, screening as sc, sections, verify
+from titrant.plans import payload, reports
+from titrant.session import ensure_checkpoint_dir, saved
 from titrant.sources import dims, io
 
 KEY, K = "report_id, page_num, row_idx", ["report_id", "page_num", "row_idx"]
@@ -59,10 +61,13 @@ def report_status(s):
 _PLACE = "CASE topic " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(fa.TOPICS)) + " ELSE 99 END"
 
 
-@query("topic_groups", f"""SELECT report_id, topic, abnormal_count, indeterminate_count, minor_count, total_count, {ch.STATUS.format('sr')} AS status,
+_TOPIC_GROUPS = f"""SELECT report_id, topic, abnormal_count, indeterminate_count, minor_count, total_count, {ch.STATUS.format('sr')} AS status,
   CASE WHEN abnormal_count + indeterminate_count + minor_count = 0 THEN 'All normal (' || total_count || ')' ELSE concat_ws(' · ', CASE WHEN abnormal_count > 0 THEN abnormal_count || ' of ' || total_count || ' worth follow-up' END,
     CASE WHEN minor_count > 0 THEN minor_count || ' minor' END, CASE WHEN indeterminate_count > 0 THEN indeterminate_count || ' unclear' END) END AS summary,
-  row_number() OVER (PARTITION BY report_id ORDER BY sr DESC, abnormal_count DESC, {_PLACE}, topic) AS topic_rank FROM topics""")
+  row_number() OVER (PARTITION BY report_id ORDER BY sr DESC, abnormal_count DESC, {_PLACE}, topic) AS topic_rank FROM topics"""
+
+
+@query("topic_groups", _TOPIC_GROUPS)
 def topic_groups(s):
     return rollup.topic_groups(s.canonical)
 
@@ -134,8 +139,11 @@ def inferred_topics(s):
     return rollup.inferred_topics(s.interpreted)
 
 
-@query("panel_completeness", """SELECT report_id, panel_name, expected, list_sort(list_intersect(expected, have)) AS present, list_sort(list_filter(expected, lambda x: NOT list_contains(have, x))) AS missing
-  FROM (SELECT report_id, list(DISTINCT loinc_code) FILTER (WHERE loinc_code IS NOT NULL) AS have FROM itp GROUP BY 1), panels WHERE len(list_intersect(expected, have)) >= 2""")
+_PANEL_ROWS = """SELECT report_id, panel_name, expected, list_sort(list_intersect(expected, have)) AS present, list_sort(list_filter(expected, lambda x: NOT list_contains(have, x))) AS missing
+  FROM (SELECT report_id, list(DISTINCT loinc_code) FILTER (WHERE loinc_code IS NOT NULL) AS have FROM itp GROUP BY 1), panels WHERE len(list_intersect(expected, have)) >= 2"""
+
+
+@query("panel_completeness", _PANEL_ROWS)
 def panel_completeness(s):
     return rollup.panel_completeness(s.interpreted, s.know.panels)
 
@@ -245,6 +253,96 @@ def report_payload(s):
     return rows.unionByName(top)
 
 
+def _result(s):
+    """The result over the lab view, with the screening results of the text queries."""
+    merged = sc.canonicalise(sc.merge_results(screening_table(s)))
+    told = explain.all_explanations(s.interpreted, s.blocks, merged)
+    return payload.Result(s.interpreted, s.rolled, s.blocks, merged, told, s.cleaned.counts, payload.page_counts(s.lab))
+
+
+#: of each part: fields of its items, and what the columns name, t1, t2, n1, n2 compare
+_PARTS = {
+    "summary": ("headline string, overall_status string, next_step_detailed string, indeterminate_count double, top_findings array<struct<test_name:string>>",
+                ["headline", "overall_status", "next_step_detailed", "indeterminate_count", "size(top_findings)"]),
+    "coverage": ("coverage_score string, total_parsed double, total_abnormal double", ["coverage_score", "null", "null", "total_parsed", "total_abnormal"]),
+    "explanation_quality": ("total double, llm_generated double, fallback_used double", ["null", "null", "null", "total", "fallback_used"]),
+    "extraction_diagnostics": ("raw_extracted_count double, filtered_noise_count double, page_count string",
+                               ["page_count", "null", "null", "raw_extracted_count", "filtered_noise_count"]),
+    "language": ("language string, disclaimer string", ["disclaimer", "language", "null", "null", "null"]),
+    "topic_groups": ("topic_rank double, topic string, status string, summary string, total_count double", ["summary", "status", "topic", "topic_rank", "total_count"]),
+    "values": ("rank_in_topic double, test_name string, direction string, confidence string, value_num double",
+               ["test_name", "direction", "confidence", "rank_in_topic", "value_num"]),
+    "screening_results": ("test_type string, result_status string, organs_screened array<string>, confidence double",
+                          ["test_type", "result_status", "array_join(organs_screened, '|')", "confidence", "null"]),
+    "explanations": ("test_name string, summary string, next_steps string", ["test_name", "summary", "next_steps", "null", "null"]),
+    "panels": ("panel_name string, present array<string>, missing array<string>", ["panel_name", "array_join(present, '|')", "array_join(missing, '|')", "null", "null"]),
+    "audit.hplc_blocks": ("ngsp_value double, eag_value double, diabetes_category string, cross_check_passed string, consistency_flags array<string>",
+                          ["diabetes_category", "array_join(consistency_flags, '|')", "cross_check_passed", "ngsp_value", "eag_value"]),
+    "audit.verification_verdicts": ("page_num double, row_idx double, test_name string, verdict string, provenance string",
+                                    ["test_name", "verdict", "provenance", "page_num", "row_idx"]),
+    "audit.deduped_alternates": ("page_num double, row_idx double, test_name string, direction string, section_type string",
+                                 ["test_name", "direction", "section_type", "page_num", "row_idx"])}
+
+
+def _read_part(made, part):
+    fields, compared = _PARTS[part]
+    kinds = ["string"] * 3 + ["double"] * 2
+    return payload.read_part(made, part, fields).selectExpr(
+        "report_id", f"'{part}' AS part", "record_topic", *[f"CAST({e} AS {k}) AS {n}" for e, k, n in zip(compared, kinds, ["name", "t1", "t2", "n1", "n2"])])
+
+
+ch.cte("reps", "SELECT report_id, count(DISTINCT page_num) AS pages FROM lab GROUP BY 1")
+ch.cte("scrm", """SELECT report_id, test_type, arg_min(result_status, {'c': -confidence, 'p': page_num}) AS result_status, max(confidence) AS confidence FROM scr GROUP BY 1, 2""")
+ch.cte("scro", """SELECT report_id, test_type, string_agg(o, '|' ORDER BY pos) AS organs FROM (SELECT report_id, test_type, arg_min(o, pos) AS o, min(pos) AS pos FROM (
+    SELECT report_id, test_type, trim(unnest(organs)) AS o, {'p': page_num, 'i': unnest([1, 2, 3])} AS pos FROM scr) WHERE lower(o) <> 'screening' AND length(o) >= 2
+    GROUP BY report_id, test_type, lower(o)) GROUP BY 1, 2""")
+ch.cte("told", f"""SELECT report_id, '1-values' AS kind, test_name, test_name || ' is ' || direction || ' (value: ' || {_VAL} || ' ' || coalesce(unit, 'None') || ')' AS summary,
+    'Please consult your healthcare provider.' AS next_steps FROM itp WHERE direction NOT IN ('in-range', 'indeterminate')
+  UNION ALL SELECT report_id, '2-blocks', 'HbA1c', 'HbA1c result: ' || diabetes_category, 'Follow up with your doctor for guidance.' FROM hblocks
+  UNION ALL SELECT report_id, '3-screening', test_type, test_type || ' screening: ' || replace(result_status, '_', ' '), 'Continue routine screening as recommended.' FROM scrm""")
+_PART_SQL = [f"""SELECT report_id, 'summary' AS part, '' AS record_topic, coalesce(headline, '{lx.HEADLINES["green"]}') AS name, coalesce(overall_status, 'green') AS t1, next_step_detailed AS t2,
+    coalesce(indeterminate_count, 0)::DOUBLE AS n1, coalesce(len(names), 0)::DOUBLE AS n2 FROM reps LEFT JOIN rsum USING (report_id)""",
+             """SELECT report_id, 'coverage', '', n || '/' || n || ' analytes parsed, ' || b || ' abnormal detected', NULL, NULL, n, b FROM (SELECT report_id, count(direction) AS n,
+    count(*) FILTER (WHERE direction IN ('high', 'low')) AS b FROM reps LEFT JOIN itp USING (report_id) GROUP BY 1)""",
+             "SELECT report_id, 'explanation_quality', '', NULL, NULL, NULL, count(kind), count(kind) FROM reps LEFT JOIN told USING (report_id) GROUP BY 1",
+             """SELECT report_id, 'extraction_diagnostics', '', any_value(pages)::VARCHAR, NULL, NULL, count(is_noise), count(*) FILTER (WHERE is_noise) FROM reps LEFT JOIN noised USING (report_id) GROUP BY 1""",
+             f"SELECT report_id, 'language', '', '{lx.DISCLAIMERS['en']}', 'en', NULL, NULL, NULL FROM reps",
+             f"SELECT report_id, 'topic_groups', '', summary, status, topic, topic_rank, total_count FROM ({_TOPIC_GROUPS})",
+             f"SELECT report_id, 'values', health_topic, test_name, direction, confidence, rank_in_topic, value_num FROM {_RANKED}",
+             "SELECT report_id, 'screening_results', '', test_type, result_status, coalesce(organs, ''), confidence, NULL FROM scrm LEFT JOIN scro USING (report_id, test_type)",
+             "SELECT report_id, 'explanations', kind, test_name, summary, next_steps, NULL, NULL FROM told",
+             f"SELECT report_id, 'panels', '', panel_name, array_to_string(present, '|'), array_to_string(missing, '|'), NULL, NULL FROM ({_PANEL_ROWS})",
+             """SELECT report_id, 'audit.hplc_blocks', '', diabetes_category, array_to_string(consistency_flags, '|'), cross_check_passed::VARCHAR, ngsp.value, eag.value FROM hblocks""",
+             "SELECT report_id, 'audit.verification_verdicts', '', test_name, verdict3, 'deterministic', page_num, row_idx FROM itp",
+             "SELECT report_id, 'audit.deduped_alternates', '', test_name, direction, section_type, page_num, row_idx FROM marked WHERE NOT is_canonical"]
+
+
+@query("report_payload_parts", " UNION ALL ".join(_PART_SQL))
+def report_payload_parts(s):
+    """Every part of the written records, read back as rows."""
+    made = saved(payload.records(payload.whole_items(_result(s))), "payload")
+    return reduce(DataFrame.unionByName, [_read_part(made, part) for part in _PARTS])
+
+
+@query("compact_report_parts", """SELECT report_id, 'values' AS part, test_name AS name, direction AS t1, summary AS t2 FROM canon LEFT JOIN (SELECT report_id, test_name, arg_min(summary, kind) AS summary
+    FROM (SELECT report_id, test_name, summary, '1' AS kind FROM expl UNION ALL SELECT report_id, 'HbA1c', arg_min('HbA1c result: ' || diabetes_category, {'p': page_num, 'b': block_id}), '2' FROM hblocks GROUP BY 1
+    UNION ALL SELECT report_id, test_name, summary, '3' FROM told WHERE kind = '3-screening') GROUP BY 1, 2) USING (report_id, test_name)
+  UNION ALL SELECT report_id, 'summary', headline, overall_status, next_step_detailed FROM (SELECT report_id, coalesce(headline, '""" + lx.HEADLINES["green"] + """') AS headline,
+    coalesce(overall_status, 'green') AS overall_status, next_step_detailed FROM reps LEFT JOIN rsum USING (report_id))
+  UNION ALL SELECT report_id, 'screening_results', test_type, result_status, NULL FROM scrm
+  UNION ALL SELECT report_id, 'panels', panel_name, array_to_string(present, '|'), NULL FROM (""" + _PANEL_ROWS + """)
+  UNION ALL SELECT report_id, 'hplc', diabetes_category, cross_check_passed::VARCHAR, NULL FROM hblocks""")
+def compact_report_parts(s):
+    made = saved(payload.records(payload.compact_items(_result(s))), "compact")
+    parts = [("values", "name string, direction string, explanation struct<summary:string>", "direction", "explanation.summary"),
+             ("summary", "headline string, overall_status string, next_step_detailed string", "overall_status", "next_step_detailed"),
+             ("screening_results", "test_type string, result_status string, followup string", "result_status", "followup"),
+             ("panels", "panel_name string, present array<string>", "array_join(present, '|')", "cast(null as string)"),
+             ("hplc", "diabetes_category string, cross_check_passed string", "cross_check_passed", "cast(null as string)")]
+    return reduce(DataFrame.unionByName, [payload.read_part(made, part, fields).selectExpr(
+        "report_id", f"'{part}' AS part", f"{fields.split()[0]} AS name", f"{a} AS t1", f"{b} AS t2") for part, fields, a, b in parts])
+
+
 @query("full_analysis", f"""SELECT r.report_id, r.overall_status, r.indeterminate_count, r.headline, c.total_parsed, c.total_abnormal FROM rsum r
   JOIN (SELECT report_id, count(*) AS total_parsed, count(*) FILTER (WHERE direction IN ('high', 'low')) AS total_abnormal FROM itp GROUP BY 1) c USING (report_id)""")
 def full_analysis(s):

@@ -101,6 +101,17 @@ HEADLINES = {
     "red": "A few results stand out and may need follow-up with your clinician.",
 }
 
+DISCLAIMERS = {
+    "en": "This information is for educational purposes only and does not replace professional medical advice. "
+          "Please consult your healthcare provider for interpretation of your results.",
+    "fr": "Ces informations sont fournies à titre éducatif uniquement et ne remplacent pas un avis médical professionnel. "
+          "Veuillez consulter votre médecin pour l'interprétation de vos résultats.",
+    "ar": "هذه المعلومات لأغراض تعليمية فقط ولا تحل محل المشورة الطبية المهنية. "
+          "يرجى استشارة مقدم الرعاية الصحية الخاص بك لتفسير نتائجك.",
+    "vn": "Thông tin này chỉ mang tính chất giáo dục và không thay thế lời khuyên y tế chuyên nghiệp. "
+          "Vui lòng tham khảo ý kiến bác sĩ để được giải thích kết quả.",
+}
+
 VALIDATOR_REASONS = ["invented_number", "comparative_ratio", "invalid_cite", "citation_shape", "citation_empty",
                      "schema_invalid"]
 OUT_OF_SCOPE = {

@@ -212,10 +212,13 @@ def report_summary(rows: DataFrame) -> DataFrame:
 
 # ---- counters and panels -------------------------------------------------
 
+def coverage_score() -> Column:
+    return F.format_string("%d/%d analytes parsed, %d abnormal detected", "total_parsed", "total_parsed", "total_abnormal")
+
+
 def report_counters(rows: DataFrame) -> DataFrame:
     n, bad = F.count(F.lit(1)), F.count_if(F.col("direction").isin("high", "low"))
-    return rows.groupBy("report_id").agg(n.alias("total_parsed"), bad.alias("total_abnormal")).withColumn(
-        "coverage_score", F.format_string("%d/%d analytes parsed, %d abnormal detected", "total_parsed", "total_parsed", "total_abnormal"))
+    return rows.groupBy("report_id").agg(n.alias("total_parsed"), bad.alias("total_abnormal")).withColumn("coverage_score", coverage_score())
 
 
 def inferred_topics(rows: DataFrame) -> DataFrame:

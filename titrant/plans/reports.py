@@ -51,13 +51,36 @@ class Cleaned:
     screening: DataFrame       # rows of screening attachments
 
 
-def clean_rows(raw: DataFrame, page_text: DataFrame | None = None, rows_per_chunk: int = sections.ROWS_PER_CHUNK) -> Cleaned:
+def _with_second_rows(usual: DataFrame, second: DataFrame) -> DataFrame:
+    """Patch badly extracted blocks of at least three rows from the second rows of their page."""
+    block = ["report_id", "block_page", "block_id", "section_type"]
+    first = saved(usual.withColumn("block_page", F.col("page_num")), "first")  # repaired once, read by three branches
+    flagged = clean.suspicious_blocks(first, block).filter("suspicious and n_rows >= 3").select(*block)
+    offers = second.join(flagged.withColumn("page_num", F.col("block_page")), ["report_id", "page_num"])
+    merged = clean.merge_second_extraction(first.join(flagged, block, "left_semi"), offers.withColumn("row_idx", F.col("row_idx") * 4 + 3), block)
+    columns = [c for c in merged.columns if c not in ("block_page", "block_id", "patched")]
+    return first.join(flagged, block, "left_anti").select(*columns).unionByName(merged.select(*columns))
+
+
+def _with_second_blocks(blocks: DataFrame, second: DataFrame) -> DataFrame:
+    page = ["report_id", "page_num"]
+    again = second.join(blocks.select(*page).distinct(), page, "left_semi")
+    return hplc.choose_extraction(blocks, hplc.parse_blocks(again, page), page)
+
+
+def clean_rows(raw: DataFrame, page_text: DataFrame | None = None, rows_per_chunk: int = sections.ROWS_PER_CHUNK,
+               second: DataFrame | None = None) -> Cleaned:
     """Section the printed rows, parse glycated haemoglobin blocks, repair and
     filter the rest, and drop exact repeats.
 
     The sectioned rows are written once; all four results read that table.
     Rows without a name or value are dropped as unreadable.  Positions are
     spread by four so that emitted block rows find room in page order.
+
+    `second` holds printed rows of a second extraction of some pages, in the
+    shape of `raw`.  They patch suspicious blocks of three or more rows, and
+    replace a glycated haemoglobin block that they complete; rows that they
+    add get the free fourth position.
     """
     split = sections.assign_blocks(raw, rows_per_chunk)
     if page_text is not None:
@@ -70,12 +93,19 @@ def clean_rows(raw: DataFrame, page_text: DataFrame | None = None, rows_per_chun
         "value_num": tx.plain_number(F.col("value_raw")),
         "ref_low": tx.plain_number(F.col("low_raw")), "ref_high": tx.plain_number(F.col("high_raw"))})
     blocks = hplc.parse_blocks(block_rows)
+    if second is not None:
+        blocks = _with_second_blocks(blocks, second.withColumns({
+            "value_num": tx.plain_number(F.col("value_raw")),
+            "ref_low": tx.plain_number(F.col("low_raw")), "ref_high": tx.plain_number(F.col("high_raw"))}))
     emitted = hplc.emit_rows(blocks).withColumn("row_idx", F.col("row_idx") * 4 + F.col("slot")).select(*ROW_COLUMNS)
 
     usual = split.filter(F.col("section_type").isin(sections.STANDARD, sections.HORMONE))
     usual = usual.filter(F.col("test_name").isNotNull() & F.col("value_raw").isNotNull())
-    usual = clean.clear_scrambled_hplc_ranges(clean.clear_implausible_ranges(clean.repair_numbers(usual)))
-    usual = usual.withColumn("row_idx", F.col("row_idx") * 4).select(*ROW_COLUMNS)
+    usual = clean.repair_numbers(usual).withColumn("row_idx", F.col("row_idx") * 4)
+    if second is not None:
+        again = second.filter(F.col("test_name").isNotNull() & F.col("value_raw").isNotNull())
+        usual = _with_second_rows(usual, clean.repair_numbers(again))
+    usual = clean.clear_scrambled_hplc_ranges(clean.clear_implausible_ranges(usual)).select(*ROW_COLUMNS)
 
     everything = usual.unionByName(emitted)
     kept = clean.drop_exact_duplicates(clean.drop_noise(everything))
@@ -125,10 +155,10 @@ def roll_up(interpreted: DataFrame, know: Knowledge) -> RolledUp:
 
 
 def analyse(raw: DataFrame, know: Knowledge, page_text: DataFrame | None = None,
-            rows_per_chunk: int = sections.ROWS_PER_CHUNK) -> tuple[Cleaned, DataFrame, RolledUp]:
+            rows_per_chunk: int = sections.ROWS_PER_CHUNK, second: DataFrame | None = None) -> tuple[Cleaned, DataFrame, RolledUp]:
     """The whole batch analysis of printed rows.  Each stage that is read more
     than once is kept as a table in the shared folder."""
-    cleaned = clean_rows(raw, page_text, rows_per_chunk)
+    cleaned = clean_rows(raw, page_text, rows_per_chunk, second)
     cleaned = replace(cleaned, rows=saved(cleaned.rows, "rows"), blocks=saved(cleaned.blocks, "blocks"))
     interpreted = saved(interpret_rows(enrich_rows(cleaned.rows, know, cleaned.blocks)), "interpreted")
     return cleaned, interpreted, roll_up(interpreted, know)
