@@ -8,6 +8,7 @@ from titrant.fixed import analytes as fa
 from titrant.functions import text as tx
 from titrant.functions.ranks import CONFIDENCE, SEVERITY, confidence_rank, label, severity_rank
 from titrant.operators.conform import coded
+from titrant.fixed.qualitative import VALUE_ALIASES
 from titrant.operators.qualitative import in_range_note, interpret_qualitative
 
 ACTION = {"normal": "routine", "mild": "monitor", "moderate": "consult", "critical": "urgent"}
@@ -92,7 +93,7 @@ def panic(value: Column, rule: Column) -> Column:
 def severity_cap(name: Column, caps=tuple(fa.SEVERITY_CAPS)) -> Column:
     """Cap of the first listed name part found in the test name."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    expr = None
+    expr = None if caps else F.lit(None).cast("string")
     for token, cap in caps:
         hit = F.contains(low, F.lit(token))
         expr = F.when(hit, cap) if expr is None else expr.when(hit, cap)
@@ -142,7 +143,7 @@ def choose_ranges(rows: DataFrame) -> DataFrame:
         F.when(suspicious, "lab-provided-suspicious").otherwise("lab-provided-validated")).otherwise(F.col("rng.source"))))
 
 
-def grade(rows: DataFrame, value: Column, low: Column, high: Column, source: Column) -> DataFrame:
+def grade(rows: DataFrame, value: Column, low: Column, high: Column, source: Column, caps=tuple(fa.SEVERITY_CAPS)) -> DataFrame:
     """Severity, panic, actionability and state of a row with bounds and `dir`.
 
     Adds severity, severity_raw, is_panic, actionability, gated."""
@@ -160,7 +161,7 @@ def grade(rows: DataFrame, value: Column, low: Column, high: Column, source: Col
     a = a.withColumns({
         "severity_raw": F.when(F.col("_gated"), "normal").otherwise(F.coalesce("_s", F.lit("normal"))),
         "is_panic": F.col("_panic") & ~F.col("_gated")})
-    a = a.withColumns({"_cap": severity_cap(F.col("test_name"))})
+    a = a.withColumns({"_cap": severity_cap(F.col("test_name"), caps)})
     capped = severity_rank(F.col("severity_raw")) > severity_rank(F.col("_cap"))
     a = a.withColumn("_capped", F.coalesce(capped & F.col("_cap").isNotNull(), F.lit(False)))
     a = a.withColumn("severity", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("severity_raw")))
@@ -168,7 +169,7 @@ def grade(rows: DataFrame, value: Column, low: Column, high: Column, source: Col
                         .otherwise(action_for(F.col("severity")))).drop("_s", "_panic", "_cap", "_capped")
 
 
-def interpret_numeric(rows: DataFrame) -> DataFrame:
+def interpret_numeric(rows: DataFrame, caps=tuple(fa.SEVERITY_CAPS)) -> DataFrame:
     """Direction, severity, confidence and provenance of numeric rows."""
     value = F.col("value_num")
     a = choose_ranges(rows)
@@ -193,7 +194,7 @@ def interpret_numeric(rows: DataFrame) -> DataFrame:
         "_source": F.when(F.col("ranged"), F.col("rng.source")).otherwise("lab-provided-validated")})
     # rows without bounds are not graded: their direction is hidden from grade()
     a = a.withColumns({"_shown": F.col("dir"), "dir": F.when(F.col("_bounded"), F.col("dir")).otherwise("in-range")})
-    a = grade(a, value, F.col("lo"), F.col("hi"), F.col("_source"))
+    a = grade(a, value, F.col("lo"), F.col("hi"), F.col("_source"), caps)
     return a.withColumns({
         "dir": F.col("_shown"),
         "range_source": F.when(F.col("degraded"), "no-range").when(F.col("ranged"), F.col("rng.source"))
@@ -215,9 +216,9 @@ def hplc_result(category: Column, part: int) -> Column:
     return F.element_at(tx.literal_map((k, v[part]) for k, v in HPLC_RESULT.items()), category)
 
 
-def interpret(rows: DataFrame) -> DataFrame:
+def interpret(rows: DataFrame, spellings: dict = VALUE_ALIASES, caps=tuple(fa.SEVERITY_CAPS)) -> DataFrame:
     """Full decision order per row: titer or text rule, block category, range."""
-    a = interpret_numeric(interpret_qualitative(rows))
+    a = interpret_numeric(interpret_qualitative(rows, spellings), caps)
     is_q, cat = F.col("q").isNotNull(), F.col("hplc_category")
     is_h = ~is_q & cat.isNotNull()
 

@@ -15,7 +15,7 @@ RESULT = "direction severity actionability is_panic confidence classification_st
 def canonical_value(text: Column, aliases: dict = VALUE_ALIASES, grades: dict = SEMI_QUANT_CANONICAL) -> Column:
     """Lower-case value word mapped through the spellings and the grades."""
     v = F.lower(tx.strip(text))
-    v = F.coalesce(F.element_at(tx.literal_map(aliases.items()), v), v)
+    v = F.coalesce(F.element_at(tx.literal_map(aliases.items()), v), v) if aliases else v
     return F.coalesce(F.element_at(tx.literal_map(grades.items()), v), v)
 
 
@@ -80,7 +80,7 @@ def by_rule(rule: Column, val: Column) -> Column:
             .otherwise(expected_negative(rule, val)))
 
 
-def interpret_qualitative(rows: DataFrame) -> DataFrame:
+def interpret_qualitative(rows: DataFrame, spellings: dict = VALUE_ALIASES) -> DataFrame:
     """Add struct `q` (null for plain numeric rows) with the qualitative result.
 
     Text values and titers of assays with a titer threshold are decided here;
@@ -93,7 +93,7 @@ def interpret_qualitative(rows: DataFrame) -> DataFrame:
     a = a.withColumns({
         "_titer": F.coalesce(titer, F.lit(False)),
         "_val": F.when(numeric, F.when(F.col("value_num") >= F.col("_rule.threshold"), "positive").otherwise("negative"))
-        .otherwise(canonical_value(F.coalesce("value_text", F.lit(""))))})
+        .otherwise(canonical_value(F.coalesce("value_text", F.lit("")), spellings))})
     a = a.withColumn("_q", F.when(~numeric | F.col("_titer"), F.when(
         F.col("_rule").isNotNull(), by_rule(F.col("_rule"), F.col("_val")))
         .otherwise(keyword_fallback(F.col("_val"), F.col("flag")))))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from titrant.operators import clean, conform, hplc, interpret as it, names as nm, rollup, sections, verify
 from titrant.functions import text as tx
 from titrant.session import saved
-from titrant.sources import dims
+from titrant.fixed import analytes as fa
+from titrant.fixed.qualitative import VALUE_ALIASES
+from titrant.sources import dims, files
 
 ROW_COLUMNS = ["report_id", "page_num", "row_idx", "test_name", "value_num", "value_text", "unit",
                "ref_low", "ref_high", "ref_text", "flag", "section_type"]
@@ -23,12 +25,31 @@ class Knowledge:
     qualitative: DataFrame
     analytes: DataFrame
     panels: DataFrame
+    spellings: dict = field(default_factory=lambda: VALUE_ALIASES)         # value words of text results
+    caps: tuple = tuple(fa.SEVERITY_CAPS)                                  # (name part, highest severity)
 
     @classmethod
     def default(cls, spark: SparkSession) -> "Knowledge":
         return cls(dims.name_table(spark), dims.families(spark), dims.qualitative_rules(spark),
                    saved(dims.analytes(spark), "analytes"), dims.panels(spark))
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, rules: str, qualitative: str, priority: str | None = None) -> "Knowledge":
+        """The default knowledge with rules, assay rules, spellings and severity caps of the caller's files.
+        Broken files raise here; files.scan and its callers report them as rows."""
+        numeric, bad = files.numeric_rules(spark, rules)
+        quals, spelled, odd = files.qualitative_rules(spark, qualitative)
+        caps, wrong = (None, None) if priority is None else files.priority(spark, priority)[1:]
+        for b in (bad, odd, wrong):
+            first = None if b is None else b.first()
+            if first is not None:
+                raise ValueError(f"cannot read {first.file}, entry {first.pos}")
+        quals = saved(quals, "qualitative")
+        base = cls.default(spark)
+        return replace(base, qualitative=quals, analytes=saved(dims.analytes(spark, rules=numeric, qualitative=quals), "analytes"),
+                       spellings=dict(files.words(spelled, "spelling", "value")),
+                       caps=base.caps if caps is None else tuple(files.words(caps, "token", "cap", order="ord")))
+
     @property
     def categories(self) -> DataFrame:
         return self.analytes.select("loinc_code", "category").filter("category is not null")
@@ -130,9 +151,10 @@ DIMENSION_COLUMNS = ["rule", "conv", "human", "families", "category", "qual", "n
                      "unit_text", "unit_present", "converted", "range_source_pre"]
 
 
-def interpret_rows(enriched: DataFrame) -> DataFrame:
+def interpret_rows(enriched: DataFrame, know: Knowledge | None = None) -> DataFrame:
     """Interpret, withdraw flag-only directions, refine verdicts, add evidence."""
-    a = it.enforce_direction_consistency(it.interpret(enriched))
+    lexicons = {} if know is None else {"spellings": know.spellings, "caps": know.caps}
+    a = it.enforce_direction_consistency(it.interpret(enriched, **lexicons))
     return it.add_evidence(verify.refine_verdicts(a)).drop(*DIMENSION_COLUMNS)
 
 
@@ -160,7 +182,7 @@ def analyse(raw: DataFrame, know: Knowledge, page_text: DataFrame | None = None,
     than once is kept as a table in the shared folder."""
     cleaned = clean_rows(raw, page_text, rows_per_chunk, second)
     cleaned = replace(cleaned, rows=saved(cleaned.rows, "rows"), blocks=saved(cleaned.blocks, "blocks"))
-    interpreted = saved(interpret_rows(enrich_rows(cleaned.rows, know, cleaned.blocks)), "interpreted")
+    interpreted = saved(interpret_rows(enrich_rows(cleaned.rows, know, cleaned.blocks), know), "interpreted")
     return cleaned, interpreted, roll_up(interpreted, know)
 
 

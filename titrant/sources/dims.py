@@ -104,15 +104,7 @@ def symptom_phrases(spark: SparkSession) -> DataFrame:
                   "lang string, phrases array<string>")
 
 
-# ---- readers -------------------------------------------------------------
-
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files; of two rules for one code the one in the later file holds."""
-    rows = spark.read.schema(RULE_SCHEMA).json(path).withColumn("_file", F.input_file_name())
-    whole = F.struct(*[c for c in rows.columns if c != "_file"])
-    return (rows.filter(F.coalesce("loinc_code", F.lit("")) != "")
-            .groupBy("loinc_code").agg(F.max_by(whole, "_file").alias("r")).select("r.*"))
-
+# ---- readers (of rules and lexicons: sources.files) ------------------------
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """The full multilingual name table: ord (place in the table), loinc, canonical, topic, aliases by language."""
